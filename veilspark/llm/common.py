@@ -116,3 +116,46 @@ def keep(key: object, make: Callable[[], object]) -> object:
             _kept.pop(next(iter(_kept)))
         _kept[key] = make()
     return _kept[key]
+
+
+def labelled_sample(docs: DataFrame, labelled: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """About `rows` rows of `labelled` (all of them if it has fewer), joined to `docs` on `key`.
+
+    The choice is by a hash of the key, the same at each run. What is broadcast is the
+    sample's keys and labels, so its size is bounded by `rows`.
+    """
+    total = labelled.count()
+    share = 1 << 30
+    if total > rows:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(share)) < int(share * rows / total))
+    return docs.join(F.broadcast(labelled), key)
+
+
+def in_one_task(df: DataFrame, train: Callable[[pa.Table], bytes], order: list[str]) -> bytes:
+    """train()'s value over all rows of a bounded sample, in one task on an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(found))], pa.binary())], ["model"])
+
+    rows = df.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return bytes(rows[0][0]) if rows else b""
+
+
+def packed(**arrays) -> bytes:
+    import io
+
+    import numpy as np
+
+    np.savez(out := io.BytesIO(), **arrays)
+    return out.getvalue()
+
+
+def unpacked(raw: bytes) -> dict:
+    import io
+
+    import numpy as np
+
+    with np.load(io.BytesIO(raw), allow_pickle=False) as f:
+        return {k: f[k] for k in f.files}

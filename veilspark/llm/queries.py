@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import read
+from . import bpe, lang_crf, quality_classifier, quality_rules, warc
+from .common import fold, read
 
 #: Tokens above which a document counts as long.
 TOKEN_LIMIT = 2048
@@ -32,8 +32,35 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    weights = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs.withColumn("held_out", fold(F.col("doc_id"), 3) == 1), weights)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_records(warc.write_records(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "intact")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = lang_crf.fit(docs.where("not held_out"))
+    return lang_crf.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+    return quality_rules.judge(docs, forest).select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_bpe_round_trip)}
+    listed = (op2_token_counts, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op10_quality_rules)
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
