@@ -230,8 +230,8 @@ class Emissions:
         return out / np.maximum(np.diff(ends, prepend=0), 1)[:, None]
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """`df` without `text`, with lang_pred and score (the mean marginal of lang_pred) of each whole text."""
+def predict(df: DataFrame, model: Model | None, text: str = "text", *, keep_text: bool = False) -> DataFrame:
+    """`df` (without `text`, unless it is kept), with lang_pred and score (the mean marginal of lang_pred) of each whole text."""
 
     def make():
         known = common.keep(("crf", model.key), lambda: Emissions(model)) if model else None
@@ -260,9 +260,10 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                         held = 0
             if waiting:
                 flush()
-            return common.replaced(batch, [text], lang_pred=pa.array(best, pa.string()), score=pa.array(score))
+            return common.replaced(batch, [] if keep_text else [text], lang_pred=pa.array(best, pa.string()), score=pa.array(score))
 
         return each
 
     kept = df.drop("lang_pred", "score")
-    return common.arrow_map(kept, make, kept.drop(text).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    rest = kept if keep_text else kept.drop(text)
+    return common.arrow_map(kept, make, rest.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)

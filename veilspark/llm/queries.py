@@ -8,19 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_crf, quality_classifier, quality_rules, warc
+from . import bpe, decontaminate, lang_crf, lattice_lm, line_dedup, quality_classifier, quality_rules, simhash, warc
 from .common import fold, read
 
 #: Tokens above which a document counts as long.
 TOKEN_LIMIT = 2048
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+    return lattice_lm.score(docs, ~F.col("held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     out = bpe.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -51,6 +66,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "contaminated", F.size("hits").cast("long").alias("n_items"), F.array_join(F.transform("hits", lambda h: h["item_id"].cast("string")), ",", "null").alias("item_ids"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
@@ -59,7 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op2_token_counts, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op10_quality_rules)
+    listed = (op1_lm_scoring, op2_token_counts, op3_line_dedup, op4_simhash, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op9_decontamination, op10_quality_rules)
     return {f.__name__: f for f in listed}
 
 
