@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import rules
 
-ENTITY = T.ArrayType(T.StructType.fromDDL("type string, text string, start int, end int, score double, method string"))
+ENTITY = "array<struct<type:string,text:string,start:int,end:int,score:double,method:string>>"
 Detector = Callable[[str, str], list[dict]]
 
 

@@ -19,7 +19,10 @@ def spans(text: Column, lang: Column, rules: Profile, backend: str = "auto") ->
 
 
 def redacted(text: Column, entities: Column, kind: str) -> Column:
-    """The text with each entity (sorted, not overlapping) replaced by its mask, rebuilt from the gaps."""
+    """The text with each entity (sorted) replaced by its mask, rebuilt from the gaps.
+
+    Where a policy leaves overlapping entities, as `iou` does, what a later one adds is masked too.
+    """
     if kind not in mask.MASKS:
         raise ValueError(f"no mask {kind!r}; there are {', '.join(mask.MASKS)}")
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
@@ -27,7 +30,9 @@ def redacted(text: Column, entities: Column, kind: str) -> Column:
     def step(acc: Column, s: Column) -> Column:
         before = F.when(s["start"] > 0, F.substr(text, s["start"], F.lit(1))).otherwise("")
         gap = F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.array(gap, mask.MASKS[kind](s["type"], s["text"], before))).alias("out"))
+        fresh = F.when(s["start"] >= acc["pos"], F.array(gap, mask.MASKS[kind](s["type"], s["text"], before)))
+        tail = F.when(s["end"] > acc["pos"], F.array(mask.MASKS[kind](s["type"], F.substr(text, acc["pos"] + 1, s["end"] - acc["pos"]), before)))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.coalesce(fresh, tail, F.array().cast("array<string>"))).alias("out"))
 
     rebuilt = F.aggregate(entities, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.length(text))))
     return F.when(F.size(entities) > 0, rebuilt).otherwise(text)

@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AUGMENTED = T.StructType.fromDDL("text_id bigint, original_text string, augmented_text string, augmentation_method string, language string, timestamp string, processing_time double")
-REQUEST = T.StructType.fromDDL("text string, language string, config map<string,string>")
+AUGMENTED = "text_id bigint, original_text string, augmented_text string, augmentation_method string, language string, timestamp string, processing_time double"
+REQUEST = "text string, language string, config map<string,string>"
 ENTITY_LIST = "array<struct<type:string,text:string,start:int,end:int,confidence:double>>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, required: tuple[str, ...] = (), header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, *, required: tuple[str, ...] = (), header: bool = True) -> DataFrame:
     """CSV files as UTF-8, or as Latin-1 where a file is not valid UTF-8. Missing `required` columns are an error.
 
     The encoding is decided file by file from the bytes, read in parallel.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     missing = [c for c in required if c not in schema.fieldNames()]
     if missing:
         raise ValueError(f"the schema lacks {', '.join(missing)}")
@@ -37,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, required:
     return out
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, *, lines: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None, *, lines: bool = False) -> DataFrame:
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
