@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, lang_crf, lattice_lm, line_dedup, quality_classifier, quality_rules, simhash, warc
 from .common import fold, read
+from .oracles import oracle_sql  # noqa: F401
 
 #: Tokens above which a document counts as long.
 TOKEN_LIMIT = 2048
@@ -57,7 +58,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return warc.read_records(warc.write_records(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "intact")
+    return warc.read_records(warc.write_records(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (op1_lm_scoring, op2_token_counts, op3_line_dedup, op4_simhash, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op9_decontamination, op10_quality_rules)
     return {f.__name__: f for f in listed}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
