@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -130,28 +130,27 @@ def links(fps: DataFrame, *, bits: int = BITS, segments: int = SEGMENTS, bucket:
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): for each end of the links (a, b), the smallest value it is connected to.
 
-    Large-star and small-star in turn until nothing changes; each round is written to the shared folder.
+    Large-star and small-star in turn until nothing changes; each round is written to the shared folder, and
+    what tells that it changed nothing - number and hashes of its links - is observed as it is written.
     """
 
-    def smallest(two_way: DataFrame) -> DataFrame:
-        low = two_way.groupBy("u").agg(F.min("v").alias("low"))
-        return two_way.join(low, "u").withColumn("low", F.least("low", "u"))
+    def written(links: DataFrame, name: str) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return common.materialize(links.observe(seen, *marks), name), seen.get
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    # an edge is (u, v) with v < u
-    now = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    # a link is (u, v) with v < u
+    of_u = Window.partitionBy("u")
+    now, at = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    while (at := state(now)) != before:
+    while at != before:
         before = at
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        large = common.materialize(large.distinct(), "large-star")
-        small = smallest(large)
-        out = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v")))
-        now = common.materialize(out.where("u <> v").distinct(), "small-star")
-    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v"), F.col("v").alias("root")).distinct())
+        large = both.withColumn("low", F.least(F.min("v").over(of_u), "u")).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = large.withColumn("low", F.min("v").over(of_u))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))
+        now, at = written(small.select(F.inline(ends)).where("u <> v").distinct(), "stars")
+    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v", F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, bits: int = BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
