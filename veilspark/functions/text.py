@@ -121,3 +121,9 @@ def html_text(x: Column) -> Column:
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return collapse(out)
+
+
+def join_chunks(chunks: DataFrame, key: str = "doc_id", order: str = "chunk", text: str = "text") -> DataFrame:
+    """The chunks of each text in order, joined by single blanks: the opposite of `explode_chunks` for masked chunks."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(text).alias("t"))))
+    return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias(text))

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,3 +126,20 @@ def scan(text: Column, lang: Column, profile: Profile, backend: str = "auto") ->
         raise ValueError(f"no scan backend {backend!r}")
     native = backend == "native" or backend == "auto" and len(profile.rules) <= NATIVE_RULES
     return (scan_native if native else scan_arrow)(text, tx.pattern_language(F.coalesce(lang, F.lit("en")), profile.languages), profile.rules)
+
+
+#: Cheap marks of places that may hold something: fixed values.
+MARKS = (Rule("email", "@"), Rule("phone", r"\d{3}"), Rule("card", r"\d{4}"), Rule("date", r"\d{2}[/-]"), Rule("ip", r"\d{1,3}\.\d{1,3}"))
+
+
+def candidate_regions(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 20) -> DataFrame:
+    """(key, line, start, end, kinds): merged stretches of each line around cheap marks, in offsets of the line.
+
+    What lies outside cannot match a rule that needs one of the marks.
+    """
+    from .resolve import regions
+
+    lines = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line", "body"))
+    found = lines.select(key, "line", F.length("body").alias("n"), F.explode(scan_native(F.col("body"), F.lit("en"), MARKS)).alias("s"))
+    wide = found.select(F.struct(key, "line").alias("place"), F.greatest(F.col("s.start") - reach, F.lit(0)).alias("start"), F.least(F.col("s.end") + reach, "n").alias("end"), "s.type")
+    return regions(wide, "place").select(f"place.{key}", "place.line", "start", "end", "kinds")

@@ -11,6 +11,7 @@ from ..functions import mask, score
 from ..functions import text as tx
 from ..functions.rules import EMAIL_PLAIN, PROFILES, Profile, Rule
 from ..operators import evaluate, report, resolve, retrieve
+from ..operators.scan import candidate_regions as candidate_regions_of
 from ..streaming import stream
 from . import pipeline
 
@@ -456,3 +457,17 @@ def rule_registry(spark, sf_dir):
     from ..functions import hooks
 
     return hooks.registry(spark)
+
+
+@query()
+def candidate_regions(spark, sf_dir):
+    found = candidate_regions_of(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "start", "end", F.array_join("kinds", "+").alias("kinds"))
+
+
+@query("select doc_id, text from documents where text is not null and text <> ''")
+def chunks_joined_again(spark, sf_dir):
+    """Fixed chunks without their last blank, joined by blanks, are the text where its white space is single blanks."""
+    docs = read(spark, sf_dir, "documents").where("text is not null and text <> ''")
+    pieces = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("chunk", "text"))
+    return tx.join_chunks(pieces)
