@@ -105,15 +105,15 @@ def replaced(batch: pa.RecordBatch, drop: list[str], **added: pa.Array) -> pa.Re
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added.values()], [*names, *added])
 
 
-#: What a worker process keeps between tasks, by name: caches and models.
+#: What a worker process keeps between tasks: one cache or model, with its key.
 _kept: dict[object, object] = {}
 
 
 def keep(key: object, make: Callable[[], object]) -> object:
-    """make()'s value, one for each worker process and key; only the last few keys stay."""
+    """make()'s value, made once for each worker process and key. Another key takes its place, so that
+    workers that Spark uses again for other operators do not hold on to their caches."""
     if key not in _kept:
-        while len(_kept) >= 8:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 

@@ -40,7 +40,7 @@ LEXICON = 300
 WIDTH = 40
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Chains that are labelled together.
 SLAB = 2_048
 
