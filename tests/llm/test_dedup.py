@@ -6,6 +6,7 @@ import re
 import pytest
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline
 from veilspark.llm import common, line_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +153,46 @@ def test_simhash_odd_rows(spark):
     assert [i for i, _ in kept] == ["1", "5", "7", "8", "None"]
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "q r s t u v w"), (2, "a b c")], "doc_id long, text string")
     assert sorted(r.text for r in simhash.one_of_each(twice).collect()) == ["a b c", "q r s t u v w"]
+
+
+def plain_set(text):
+    ws = (text or "").lower().split()
+    return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def plain_similar(rows):
+    """The smallest id of each row's component, of pairs of sets with a Jaccard similarity of 0.8 or more."""
+    root, sets = {i: i for i, _ in rows}, [(i, plain_set(t)) for i, t in rows]
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i, _ in rows}
+
+
+def test_stage_finds_all_similar_texts(spark):
+    rng = random.Random(5)
+    texts = []
+    for size in (1, 3, 5, 6, 8, 9, 30, 60, 200, 200):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(14):
+            some = list(base)
+            for _ in range(rng.randrange(0, 1 + size // 25)):
+                some[rng.randrange(size)] = f"x{rng.randrange(50)}"
+            texts.append(" ".join(some[: size - rng.randrange(0, 2)]))
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts += [passage + " " + " ".join(f"q{rng.randrange(9000)}" for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["", " ", None]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_similar(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
+    kept = {r.doc_id for r in corpus_pipeline.simhash_deduplication(spark, df, SF).collect()}
+    assert kept == set(want.values()) and kept != {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert simhash.similar(df.limit(0)).collect() == []

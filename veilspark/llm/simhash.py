@@ -10,6 +10,10 @@ full Hamming check. `components` joins links into classes.
 Buckets of more than BUCKET fingerprints are not paired off: their members go by
 `midpoints`, which is exact for two bits or fewer and whose groups hold 65 members at most.
 
+`similar` is for near-duplicate stages: it links texts by the Jaccard similarity of their
+shingles. No bound on bits finds all of those pairs, so candidates come from shared shingles
+(prefix filter, which is exact) and each is checked on the whole sets.
+
 Defined results: null and empty text, and text without a word, have fingerprint 0 and link
 like any other. Rows with equal text share a fingerprint and so a component. Null doc_ids
 are carried and never a component's id unless it has no other. Extra columns are ignored.
@@ -17,6 +21,7 @@ are carried and never a component's id unless it has no other. Extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,6 +37,10 @@ BITS, SEGMENTS = 2, 16
 #: Fingerprints of a bucket that are paired off; larger buckets go by midpoints.
 BUCKET = 24
 SLAB = 1 << 16
+#: Near-duplicate stages: words of a shingle, and Jaccard similarity from which texts are alike.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+#: Shingles are ranked by the counts of 2 ** RANKS buckets; rounds of stars before the remaining pairs.
+RANKS, STARS = 18, 2
 
 
 def fingerprint(raw: bytes) -> int:
@@ -153,6 +162,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v", F.col("v").alias("root")).distinct())
 
 
+def named(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`rows` (doc_id, fp and others) with component_fp and component_id; link: classes (fp, first) -> links (a, b)."""
+    classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = common.materialize(components(link(classes)).withColumnRenamed("v", "fp"), "roots")
+    of_root = roots.join(classes, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    moved = roots.join(of_root, "root").select("fp", "root", "least")
+    alone = F.col("root").isNull()
+    found = classes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_fp"), F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    found = common.materialize(found, "named").withColumnRenamed("fp", "__fp")
+    return rows.join(found, rows["fp"] == found["__fp"]).select(*(c for c in rows.columns if c != "fp"), "fp", "component_fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, bits: int = BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
     """`docs` (doc_id, text and others) without `text`, with fp, component_fp and component_id for every row.
 
@@ -160,23 +181,141 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, segments: int = SEGMEN
     which tells components apart even where rows repeat an id.
     """
     rows = common.materialize(fingerprints(docs.drop("component_id", "component_fp")), "fingerprints")
-    classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = common.materialize(components(links(classes.select("fp"), bits=bits, segments=segments, bucket=bucket)).withColumnRenamed("v", "fp"), "roots")
-    of_root = roots.join(classes, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    moved = roots.join(of_root, "root").select("fp", "root", "least")
-    alone = F.col("root").isNull()
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_fp"), F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    named = common.materialize(named, "named").withColumnRenamed("fp", "__fp")
-    return rows.join(named, rows["fp"] == named["__fp"]).select(*(c for c in rows.columns if c != "fp"), "fp", "component_fp", "component_id")
+    return named(rows, lambda classes: links(classes.select("fp"), bits=bits, segments=segments, bucket=bucket))
+
+
+def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle."""
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
+def ranks(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts' shingles fall in each of 2 ** RANKS buckets of hashes: any table's counts are as many numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RANKS, np.int64)
+        for batch in batches:
+            for raw in common.as_bytes(batch.column("text")):
+                h = (shingle_set(raw, shingle) >> np.uint64(64 - RANKS)).astype(np.int64)
+                np.add.at(total, h, 1)
+        k = np.flatnonzero(total)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RANKS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def shingled(docs: DataFrame, rank: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """`docs` without `text`, with fp (a hash of the set of shingles, 0 for none), n (its size) and prefix.
+
+    prefix: the set's first shingles in one order for all texts, rare buckets first. Two sets that are alike share
+    similarity * n of either, so they cannot do without a common shingle among the first n - ceil(similarity * n) + 1.
+    """
+
+    def make():
+        def each(batch):
+            fps, sizes, prefixes = [], [], []
+            for raw in common.as_bytes(batch.column("text")):
+                h = shingle_set(raw, shingle)
+                n = len(h)
+                first = np.lexsort((h, rank[(h >> np.uint64(64 - RANKS)).astype(np.int64)]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                fps.append(xxh64_intdigest(h.tobytes()) if n else 0)
+                sizes.append(n)
+                prefixes.append(h[first])
+            return common.replaced(batch, ["text"], fp=pa.array(np.array(fps, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int64()), prefix=lists(prefixes))
+
+        return each
+
+    added = {"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "prefix": F.expr("cast(array() as array<bigint>)")}
+    kept = docs.drop(*added)
+    return common.arrow_map(kept, make, kept.drop("text").withColumns(added).schema)
+
+
+def alike(pairs: DataFrame, places: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets that are alike. places: (fp, doc_id, version), a text with each set; docs: (doc_id, version, text)."""
+    pairs = common.materialize(pairs, "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(places, "fp").alias("e")
+    here = docs.alias("d").join(ends, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.version") == F.col("e.version"))).select("fp", "text")
+
+    def make():
+        def each(batch):
+            return common.replaced(batch, ["text"], hashes=lists([shingle_set(raw, shingle) for raw in common.as_bytes(batch.column("text"))]))
+
+        return each
+
+    sets = common.materialize(common.arrow_map(here, make, "fp long, hashes array<bigint>").dropDuplicates(["fp"]), "near-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    same = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return common.materialize(same.where(F.col("i") >= similarity * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"), "near-links")
+
+
+def set_links(rows: DataFrame, docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose classes are those of all pairs of sets that are alike. rows: `shingled` of docs (doc_id, version, text).
+
+    Each shared shingle first gives stars around one member, so that large groups of copies come together by
+    as many pairs as they have members; then all pairs follow that share one and are not together yet.
+    """
+    places = common.materialize(rows.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("x")).select("fp", "x.*"), "near-places")
+    keyed = rows.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.explode("prefix").alias("token"))
+    keyed = common.materialize(keyed, "near-keys")
+    often = common.materialize(keyed.groupBy("token").count().where("count > 1").select("token"), "near-often")
+    shared = common.materialize(keyed.join(often, "token"), "near-shared")
+    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    found, tried, left = None, None, shared.withColumn("root", F.col("fp"))
+    for k in range(STARS + 1):
+        if found is not None:
+            roots = components(found).withColumnRenamed("v", "fp")
+            left = common.materialize(left.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-left")
+        open_ = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "n", "root"), F.xxhash64(F.lit(k), F.col("fp"))).alias("hub")).where("low <> high")
+        left = common.materialize(left.join(open_.select("token", "hub"), "token"), "near-open")
+        if k < STARS:
+            pairs = left.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"))).select(*ordered(F.col("fp"), F.col("hub.fp")))
+        else:
+            x, y = left.alias("x"), left.alias("y")
+            apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+            pairs = x.join(y, apart & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        left = left.drop("hub")
+        pairs = pairs.distinct()
+        pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-candidates")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = alike(pairs, places, docs, shingle, similarity)
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """As `near_duplicates`, with links between all texts whose shingles have a Jaccard similarity of `similarity` or more.
+
+    fp is a hash of the set of shingles. Texts without a word are alike.
+    """
+    docs = docs.drop("component_id", "component_fp")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    rows = docs.withColumn("__version", F.xxhash64("text"))
+    rows = common.materialize(shingled(rows, ranks(docs, shingle), shingle, similarity), "sets")
+    sets = rows.select("doc_id", F.col("__version").alias("version"), "fp", "n", "prefix")
+    return named(rows.drop("__version", "n", "prefix"), lambda classes: set_links(sets, texts, shingle=shingle, similarity=similarity))
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of `docs` less all but one of each component: that with the smallest id, and of rows that share it one.
 
-    Only ids and hashes of texts are grouped; the texts meet them once.
+    find: `near_duplicates` or `similar`. Only ids and hashes of texts are grouped; the texts meet them once.
     """
     version = F.xxhash64(text)
-    found = near_duplicates(docs.select(F.col(key).alias("doc_id"), version.alias("version"), F.col(text).alias("text")))
+    found = find(docs.select(F.col(key).alias("doc_id"), version.alias("version"), F.col(text).alias("text")))
     # rows of one id may lie in one component with different texts: one of them stays
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_fp").agg(F.min(F.struct("version", "doc_id")).alias("x"))
     stays = common.materialize(stays.select(F.col("x.doc_id").alias("__id"), F.col("x.version").alias("__version")), "stays")
