@@ -75,6 +75,14 @@ def test_lines_null_ids_repeated_rows_and_empty_table(spark):
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(alone).collect()) == [(2, line), (2, line), (3, "")]
 
 
+def test_stage_removes_repeats_of_short_lines(spark):
+    long = "a line of more than twenty characters"
+    rows = [(1, f"Home\n\n{long}\nHome"), (2, f"home\nHome\n \nHom\n{long}s\n"), (3, "Home\n \n\nx\nx"), (4, None)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long").repartition(2)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_deduplication(spark, df, SF).collect()}
+    assert got == {1: f"Home\n\n{long}", 2: "home\n \nHom\n", 3: " \n\nx", 4: None}
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

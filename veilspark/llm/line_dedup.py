@@ -2,7 +2,9 @@
 
 A line of `min_chars` characters or more goes if an earlier line of the corpus equals it or
 is one edit (a character put in, left out or changed) away; order is by doc_id, then
-position. Shorter lines stay: most of their neighbours are there by chance.
+position. Of shorter lines most near neighbours are there by chance: they are never compared by
+edits. Those of `exact_chars` characters or more that are not blank go if an earlier line equals
+them; where it is not given, as in op3 with its SQL twin, it is `min_chars` and they stay.
 
 Equal lines meet by a 128-bit hash. For near ones every distinct line gives hashed keys:
 
@@ -106,11 +108,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("mine_line", "theirs_line", 1).between(0, 1)).select("own.*").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, version, pos) of every line of `docs` (doc_id, text) that goes, and whether it is near rather than equal."""
     place = ["doc_id", "version", "pos"]
-    rows = line_rows(docs).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    first = F.min(F.struct("doc_id", "pos", "version", half_keys("line", "n").alias("halves"))).alias("first")
+    long = F.col("n") >= min_chars
+    rows = line_rows(docs).withColumn("n", F.length("line"))
+    rows = rows.where(long if exact_chars is None else long | ((F.col("n") >= exact_chars) & F.col("line").rlike(r"\S")))
+    first = F.min(F.struct("doc_id", "pos", "version", F.when(long, half_keys("line", "n")).alias("halves"))).alias("first")
     distinct = rows.groupBy(*hashes(F.col("line"))).agg(first, F.count("*").alias("times"))
     distinct = common.materialize(distinct.select("h1", "h2", "first.*", "times"), "lines-distinct")
     near = common.materialize(near_lines(docs, distinct), "lines-near")
@@ -123,10 +127,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return each.where(F.col("near") | ~is_first).select(*place, "near")
 
 
-def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """`df` with `text` without its repeated lines, and the added columns n_lines and n_dropped."""
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    gone = dropped_lines(docs, min_chars).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("__gone"))
+    gone = dropped_lines(docs, min_chars, exact_chars).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__gone")
     out = df.drop("n_lines", "n_dropped").join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
     lines = split_lines(F.col(text))
