@@ -178,6 +178,12 @@ def test_lm_base_scores(spark, common_words):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_lm_scores_do_not_depend_on_what_is_shipped(spark):
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    few, all_ = ({r.doc_id: r.score for r in lattice_lm.score(docs, common.fold(F.col("doc_id"), 5) != 1, VOCABULARY, common_words=n).collect()} for n in (40, 100_000))
+    assert few == pytest.approx(all_, rel=1e-9)
+
+
 def test_lm_odd_rows(spark, odd):
     got = lattice_lm.score(odd, F.lit(True), VOCABULARY).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in got) == sorted([("None", 1, 1), ("1", 1, 1), ("2", 1, 1), ("3", 1, 1), ("4", 4, 4), ("5", 20_001, 20_001), ("6", 2, 2), ("6", 2, 2), ("7", 2, 2)])

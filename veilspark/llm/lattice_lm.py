@@ -7,7 +7,7 @@ sums them. A text's probability is the product over its words and one end symbol
 
 The file's scores start the pieces' probabilities (a score is minus a rank, which stands for
 a probability falling as 1 / rank). Expected piece counts of the training words then replace
-them: `ROUNDS` times over the common words, and a last time over all. A word-unigram base score
+them, in each of `ROUNDS` + 1 rounds over all training words. A word-unigram base score
 with add-half smoothing is given beside it.
 
 Word counts cover every training text and stay distributed. What is shipped to executors is
@@ -35,7 +35,7 @@ from . import common
 
 #: Words that are shipped to executors, at most.
 COMMON = 150_000
-#: Passes of expectation and maximisation over the common words before the one over all.
+#: Passes of expectation and maximisation over the training words before the last one.
 ROUNDS = 2
 #: Weight of the file's own scores, in pieces.
 PRIOR = 3_000.0
@@ -316,10 +316,7 @@ def score(df: DataFrame, train: Column, vocabulary: str, *, text: str = "text",
 
     start = Pieces.load(vocabulary)
     pieces, end = refined(start, {}, ends)
-    if taken:
-        for _ in range(rounds):
-            pieces, end = refined(start, expected(often, pieces), ends)
-    if n_words:
+    for _ in range(rounds + 1 if n_words else 0):
         pieces, end = refined(start, expected(counts, pieces), ends)
     total = math.log(n_tokens + 0.5 * (n_words + 1))
     model = (pieces.names, pieces.logs, end, known_rows)
