@@ -124,3 +124,11 @@ def test_chat_reply_masks_each_by_its_own(spark):
     df = spark.createDataFrame([("mail a@b.org", "call 212-555-0199 now")], "query string, answer string")
     r = pipeline.chat_reply(df).first()
     assert r.masked_query == "mail [EMAIL]" and r.masked_answer == "call [PHONE] now"
+
+
+def test_deduplicated_keeps_null_texts(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", "en"), (2, None, "en"), (3, None, None), (4, None, "en"), (5, "mail a@b.co", None)], "doc_id int, text string, lang string")
+    got = pipeline.deduplicated(docs, "simple")
+    want = pipeline.analyze(docs.withColumn("text_sha256", F.sha2("text", 256)), "simple").select(*got.columns)
+    key = lambda df: sorted((str(r.asDict(True)) for r in df.collect()))
+    assert got.count() == 5 and key(got) == key(want)

@@ -88,7 +88,11 @@ def deduplicated(df: DataFrame, name: str | Profile = "light", *, text: str = "t
     """As `analyze`, each distinct (text, language) analysed once and joined back: for tables of many copies."""
     keys = df.withColumn("text_sha256", F.sha2(F.col(text), 256))
     once = analyze(keys.select("text_sha256", text, lang).dropDuplicates(["text_sha256", lang]), name, text=text, lang=lang, masks=masks).drop(text)
-    return keys.join(once.withColumnRenamed(lang, "__lang"), ["text_sha256"]).where(F.col(lang).eqNullSafe(F.col("__lang"))).drop("__lang")
+    once = once.withColumnRenamed("text_sha256", "__sha256").withColumnRenamed(lang, "__lang")
+    # null texts have a null hash, and are kept as `analyze` keeps them
+    same = F.col("text_sha256").eqNullSafe(F.col("__sha256")) & F.col(lang).eqNullSafe(F.col("__lang"))
+    out = keys.join(once, same).drop("__sha256", "__lang")
+    return out.select("text_sha256", *(c for c in out.columns if c != "text_sha256"))
 
 
 def redact_columns(df: DataFrame, name: str | Profile = "light", *, lang: str = "en", masks: str | None = None) -> DataFrame:
