@@ -112,6 +112,12 @@ def test_stages(spark, staged):
     assert sorted((r.doc_id, r.n_tokens) for r in counts.collect()) == sorted((r.doc_id, r.n_tokens) for r in encoded.collect())
 
 
+def test_language_stage_without_a_model(spark):
+    rows = [(1, "plain words"), (2, None), (3, "12 !!"), (4, ""), (5, "É\n2")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {1, 5}
+
+
 def test_run_is_the_stages(spark, staged):
     got = corpus_pipeline.run(spark, SF)
     assert got.exceptAll(staged[-1]).count() == 0 == staged[-1].exceptAll(got).count()
