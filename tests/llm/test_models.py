@@ -54,6 +54,17 @@ def test_rules_tell_junk(spark):
     assert np.mean(clean) > 0.98 and np.mean(junk) < 0.2
 
 
+def test_rules_mind_repeated_lines(spark):
+    docs, labels = common.read(spark, SF, "documents").select("doc_id", "text"), common.read(spark, SF, "labels")
+    forest = quality_rules.fit(docs, labels)
+    rows = quality_rules.statistics(docs.join(labels.where("quality = 1").select("doc_id"), "doc_id")).toPandas()
+    x = rows[list(quality_rules.COUNTS)].to_numpy(np.int64)
+    x = x[~quality_rules.base_failed(x)]
+    assert (forest.score(quality_rules.features(x)) < forest.threshold).mean() > 0.98
+    x[:, 3], x[:, 5] = 36, 40  # duplicate lines, lines
+    assert (forest.score(quality_rules.features(x)) < forest.threshold).mean() < 0.1
+
+
 def test_rules_odd_rows(spark, odd):
     forest = quality_rules.fit(odd, spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, quality int"))
     got = quality_rules.judge(odd, forest).collect()
