@@ -70,6 +70,13 @@ def test_search_finds_all_above_threshold():
             assert set(found.get(p, [])) == want
 
 
+def test_items_longer_than_a_slab(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLAB", 256)
+    item = " ".join(f"w{k}" for k in range(400))
+    index = decontaminate.Index.build([(1, item), (2, "a b c d e f")])
+    assert [x[0] for x in index.leaks("z " * 900 + item + " z" * 900, 0.5, 0.8)] == [1] and index.leaks("z " * 900, 0.5, 0.8) == []
+
+
 def test_shards_give_the_same(spark):
     docs, items = common.read(spark, SF, "documents").select("doc_id", "text"), common.read(spark, SF, "benchmark")
     whole = {r.doc_id: r.hits for r in decontaminate.mark(docs, items).collect()}

@@ -167,7 +167,7 @@ class Index:
         ws, best = words(text), {}
         codes = np.fromiter((self.terms.get(w, 0) for w in ws), np.int64, len(ws))
         half = self.passage // 2
-        step = SLAB // half * half
+        step = max(SLAB // half, 1) * half
         for k in range(0, max(len(ws) - half, 1), step):
             for passage, items in self.search(codes[k : k + step + half], threshold).items():
                 # the search's threshold is on scores; whole passages are verified, whatever retrieved them
