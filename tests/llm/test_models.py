@@ -4,6 +4,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -177,22 +178,42 @@ def base_scores(rows):
     return scored
 
 
+def plain_marginal(pieces, names, word):
+    """Probability of a word by plain recursion over the ends of its pieces."""
+    word = lattice_lm.MARK + word
+    sums = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - 30), j):
+            if word[i:j] in names:
+                sums[j] += sums[i] * math.exp(pieces.logs[names[word[i:j]]])
+        sums[j] += sums[j - 1] * math.prod(math.exp(pieces.logs[b]) for b in word[j - 1].encode())
+    return sums[-1]
+
+
 @pytest.mark.parametrize("common_words", [40, 100_000])
-def test_lm_base_scores(spark, common_words):
+def test_lm_query_against_plain_recursion(spark, common_words):
     docs = common.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = lattice_lm.score(docs, common.fold(F.col("doc_id"), 5) != 1, VOCABULARY, common_words=common_words, rounds=1).collect()
+    held = common.fold(F.col("doc_id"), 5) == 1
+    got = lattice_lm.score(docs.withColumn("own", F.lit(1)).withColumn("Rest", F.lit(2)), ~held, VOCABULARY, common_words=common_words).collect()
+    assert len(got) == len(rows) and got[0].own == 1 and got[0].Rest == 2
     want = base_scores(rows)
+    pieces = lattice_lm.Pieces.load(VOCABULARY)
+    names = {n: k for k, n in enumerate(pieces.names) if k >= 256}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    counts = Counter(w for i, t in rows if fold(i, 5) != 1 for w in [*split(t), None])
+    n, v, known = counts.total(), len(counts), {}
+    texts = dict(rows)
     for r in got:
-        n, known, total, base = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
-
-
-def test_lm_scores_do_not_depend_on_what_is_shipped(spark):
-    docs = common.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
-    few, all_ = ({r.doc_id: r.score for r in lattice_lm.score(docs, common.fold(F.col("doc_id"), 5) != 1, VOCABULARY, common_words=n).collect()} for n in (40, 100_000))
-    assert few == pytest.approx(all_, rel=1e-9)
+        tokens, seen, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, seen, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        score = math.log10((counts[None] + (v + 1) * lattice_lm.END_SHARE) / (n + v + 1))
+        for w in split(texts[r.doc_id]):
+            if w not in known:
+                known[w] = math.log10((counts[w] + (v + 1) * (1 - lattice_lm.END_SHARE) * plain_marginal(pieces, names, w)) / (n + v + 1))
+            score += known[w]
+        assert r.score == pytest.approx(score, rel=1e-9)
 
 
 def test_lm_odd_rows(spark, odd):
@@ -226,12 +247,14 @@ def test_marginal_against_enumeration():
         all_cuts = list(cuts(s))
         weights = [math.prod(prob[x] for x in c) for c in all_cuts]
         assert pieces.marginals([s, "▁ab", s])[2] == pytest.approx(math.log(sum(weights)), rel=1e-9)
-        into = pieces.expect([s], np.array([3.0]))
-        want = {}
-        for c, w in zip(all_cuts, weights, strict=True):
-            for x in c:
-                want[x] = want.get(x, 0) + 3 * w / sum(weights)
-        assert {names[k]: v for k, v in enumerate(into) if v > 1e-300} == pytest.approx(want)
+
+
+def test_long_words_block_by_block():
+    pieces = lattice_lm.Pieces.load(VOCABULARY)
+    word = lattice_lm.MARK + "internationalisation" * 40
+    codes = np.array([[ord(c) for c in word]], np.uint32)
+    whole = pieces.forward(codes)[0]
+    assert all(pieces.forward(codes, block=b)[0] == pytest.approx(whole, rel=1e-12) for b in (1, 7, 100, 799, 801))
 
 
 def test_learning_raises_likelihood(spark):

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import io
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +39,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is used.
+    Only where that is unset and the master is local, as in tests on one machine, a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -75,17 +82,74 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where the tables of `materialize` lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that `materialize` gave and that nothing reads any more."""
+    for table in tables:
+        if table is not None and (path := _paths.pop(table, None)):
+            drop_path(table.sparkSession, path)
+            _written.remove((table.sparkSession, path))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each of `names` one that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bytes of a batch that are worked on at a time, besides those of a single longer row.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows of SLICE_BYTES or so each: what a function makes of them is bounded alike."""
+    n, at = batch.num_rows, 0
+    if batch.nbytes <= 2 * SLICE_BYTES or n == 1:
+        yield batch
+        return
+    sizes = sum(_row_bytes(c) for c in batch.columns)
+    ends = np.cumsum(sizes)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+        kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+        if column.null_count == len(column):
+            return np.zeros(len(column), np.int64)
+        return np.diff(np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]).astype(np.int64)
+    return np.full(len(column), column.nbytes // max(1, len(column)), np.int64)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with state: `make` runs once per task and returns the function for its batches."""
+    """mapInArrow with state: `make` runs once per task and returns the function for its batches, which come in slices.
+
+    What another operator has kept in the worker goes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        each = begun(make)
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for part in slices(batch) if batch.num_rows else ():
+                yield each(part)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -107,23 +171,48 @@ def replaced(batch: pa.RecordBatch, drop: list[str], **added: pa.Array) -> pa.Re
 
 #: What a worker process keeps between tasks: one cache or model, with its key.
 _kept: dict[object, object] = {}
+_asked = False
+
+
+def begun(make: Callable[[], object]) -> object:
+    """make()'s value at the start of a task; if it keeps nothing, what the worker has kept goes."""
+    global _asked
+    _asked = False
+    each = make()
+    if not _asked:
+        _let_go()
+    return each
+
+
+def _let_go() -> None:
+    if _kept:
+        _kept.clear()
+        gc.enable()
+        gc.collect()
 
 
 def keep(key: object, make: Callable[[], object]) -> object:
-    """make()'s value, made once for each worker process and key. Another key takes its place, so that
-    workers that Spark uses again for other operators do not hold on to their caches."""
+    """make()'s value, made once for each worker process and key. Another key takes its place, as does a task of
+    `arrow_map` that keeps nothing: workers that Spark uses again for other operators do not hold on to their caches."""
+    global _asked
+    _asked = True
     if key not in _kept:
-        _kept.clear()
+        _let_go()
         _kept[key] = make()
     return _kept[key]
 
 
+#: Texts of more bytes are not learnt from: with the number of rows this bounds what one task holds.
+SAMPLE_TEXT_BYTES = 1 << 16
+
+
 def labelled_sample(docs: DataFrame, labelled: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """About `rows` rows of `labelled` (all of them if it has fewer), joined to `docs` on `key`.
+    """About `rows` rows of `labelled` (all of them if it has fewer), joined to `docs` (key, text) on `key`.
 
     The choice is by a hash of the key, the same at each run. What is broadcast is the
-    sample's keys and labels, so its size is bounded by `rows`.
+    sample's keys and labels, so its size is bounded by `rows`. Texts of over SAMPLE_TEXT_BYTES stay out.
     """
+    docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
     total = labelled.count()
     share = 1 << 30
     if total > rows:
@@ -132,7 +221,7 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, rows: int, key: str =
 
 
 def in_one_task(df: DataFrame, train: Callable[[pa.Table], bytes], order: list[str]) -> bytes:
-    """train()'s value over all rows of a bounded sample, in one task on an executor."""
+    """train()'s value over all rows of a sample that is bounded in rows and bytes, in one task on an executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
@@ -144,18 +233,10 @@ def in_one_task(df: DataFrame, train: Callable[[pa.Table], bytes], order: list[s
 
 
 def packed(**arrays) -> bytes:
-    import io
-
-    import numpy as np
-
     np.savez(out := io.BytesIO(), **arrays)
     return out.getvalue()
 
 
 def unpacked(raw: bytes) -> dict:
-    import io
-
-    import numpy as np
-
     with np.load(io.BytesIO(raw), allow_pickle=False) as f:
         return {k: f[k] for k in f.files}

@@ -1,22 +1,26 @@
 """Language-model scoring: the marginal probability of a text over all its segmentations.
 
-The pieces come from an existing vocabulary file (a parameter). A word is written as "▁" and
-its letters; every way to cut it into pieces - and characters into byte pieces - is weighed
-by the pieces' unigram probabilities, and a log-space forward recursion over the lattice
-sums them. A text's probability is the product over its words and one end symbol.
-
-The file's scores start the pieces' probabilities (a score is minus a rank, which stands for
-a probability falling as 1 / rank). Expected piece counts of the training words then replace
-them, in each of `ROUNDS` + 1 rounds over all training words. A word-unigram base score
-with add-half smoothing is given beside it.
-
-Word counts cover every training text and stay distributed. What is shipped to executors is
-bounded: the pieces, and the words common enough that there are `COMMON` of them at most. The
-others meet their counts in a join.
+The pieces and their scores come from an existing vocabulary file (a parameter). A word is
+written as "▁" and its letters; every way to cut it into pieces - and characters into byte
+pieces - is weighed by the file's scores, and a log-space forward recursion over the lattice
+sums them. A score is minus a rank and stands for a probability falling as 1 / rank.
+
+This marginal is what the model knows about any word. What it learns is how often words occur
+in the training texts: with c the word's count, N all counts, V distinct ones and G the share
+that the lattice gives to the word among all words (or to the end of a text), a token's
+probability is (c + (V + 1) G) / (N + V + 1). A text's is the product over its words and one
+end. A word-unigram base score with add-half smoothing is given beside it.
+
+Every distinct word is solved once, in a table of words that stays distributed. What is
+shipped to executors is bounded: words that occur often enough that there are `COMMON` of them
+at most, with their values. The others meet theirs in a join; which way a word goes changes
+no result.
 
 Defined results: null text counts as empty and has one token, its end. A-Z are lower-cased,
-words are runs of anything but ASCII white space. Rows are independent and may repeat. With
-no training text, every count is 0, and the file's scores alone make the model.
+words are runs of anything but ASCII white space, of any length: long ones are solved block by
+block. Rows are independent and may repeat. With no training text every count is 0, and the
+file's scores alone make the model. An empty table gives an empty result. Columns of `df`
+other than the text pass through, whatever their names; those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -35,16 +39,14 @@ from . import common
 
 #: Words that are shipped to executors, at most.
 COMMON = 150_000
-#: Passes of expectation and maximisation over the training words before the last one.
-ROUNDS = 2
-#: Weight of the file's own scores, in pieces.
-PRIOR = 3_000.0
-#: Words a worker counts or remembers before it lets go of them.
-REMEMBERED = 400_000
+#: Words a worker counts before it lets go of them.
+REMEMBERED = 200_000
+#: Share of ends among the tokens of texts of which nothing is known.
+END_SHARE = 0.001
 MARK = "▁"
-LN10, LN_HALF = math.log(10.0), math.log(0.5)
-#: Words of texts that are scored together, and cells of their lattices that are held at a time.
-SLAB, GRID = 200_000, 1 << 16
+LN10 = math.log(10.0)
+#: Cells of lattices that are held at a time.
+GRID = 1 << 16
 #: Counts are sorted into this many buckets for each doubling.
 FINE = 16
 
@@ -85,54 +87,38 @@ class Pieces:
                 self.chars[c] = float(self.logs[list(chr(c).encode("utf-8"))].sum())
         return np.array([self.chars[c] for c in kinds.tolist()])[back].reshape(codes.shape)
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward sums (words, positions), edges' logs and piece numbers (words, starts, lengths), and bytes' logs.
-
-        codes: characters of words of one length, a row each.
-        """
+    def edges(self, codes: np.ndarray) -> np.ndarray:
+        """ln of the weight of each edge of the lattices (words, starts, lengths): its piece or, of one character, its bytes too."""
         ids = self.grid().find_all(codes)
         logs = np.where(ids >= 0, self.logs[ids], -np.inf)
-        spelt = self.by_bytes(codes)
-        logs[:, :, 0] = np.logaddexp(logs[:, :, 0], spelt)
-        n, longest = ids.shape[1:]
-        sums = np.full((len(codes), n + 1), -np.inf)
-        sums[:, 0] = 0
-        for j in range(1, n + 1):
-            back = np.arange(1, min(longest, j) + 1)
-            sums[:, j] = log_sum(sums[:, j - back] + logs[:, j - back, back - 1])
-        return sums, logs, ids, spelt
+        logs[:, :, 0] = np.logaddexp(logs[:, :, 0], self.by_bytes(codes))
+        return logs
+
+    def forward(self, codes: np.ndarray, block: int = GRID) -> np.ndarray:
+        """ln of the summed weight of all ways through each word: forward recursion in log space.
+
+        codes: characters of words of one length, a row each. Of a long word a block of characters at a time is
+        looked at; only the sums at the last places, as far back as a piece reaches, go from block to block.
+        """
+        n, reach = codes.shape[1], min(self.grid().longest, codes.shape[1])
+        last = np.full((len(codes), 1), 0.0)  # sums at the places before the block, the nearest last
+        for start in range(0, n, block):
+            end, first = min(n, start + block), start + 1 - last.shape[1]
+            logs = self.edges(codes[:, first:end])
+            longest = logs.shape[2]
+            sums = np.full((len(codes), end - first + 1), -np.inf)
+            sums[:, : last.shape[1]] = last
+            for j in range(start - first + 1, end - first + 1):
+                back = np.arange(1, min(longest, j) + 1)
+                sums[:, j] = log_sum(sums[:, j - back] + logs[:, j - back, back - 1])
+            last = sums[:, -reach:]
+        return last[:, -1]
 
     def marginals(self, words: list[str]) -> np.ndarray:
         """ln of the summed probability of all segmentations of each word, by forward recursion in log space."""
         out = np.empty(len(words))
         for rows, codes in by_length(words):
-            out[rows] = self.forward(codes)[0][:, -1]
-        return out
-
-    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
-        """Expected piece counts of words that occur so often, by forward-backward."""
-        out = np.zeros(len(self.names))
-        for rows, codes in by_length(words):
-            sums, logs, ids, spelt = self.forward(codes)
-            n, longest = ids.shape[1:]
-            after = np.full(sums.shape, -np.inf)
-            after[:, n] = 0
-            for i in range(n - 1, -1, -1):
-                ahead = np.arange(1, min(longest, n - i) + 1)
-                after[:, i] = log_sum(logs[:, i, : len(ahead)] + after[:, i + ahead])
-            whole, c = sums[:, n], times[rows]
-            for k in range(1, longest + 1):
-                share = np.exp(sums[:, : n - k + 1] + logs[:, : n - k + 1, k - 1] + after[:, k:] - whole[:, None]) * c[:, None]
-                piece = ids[:, : n - k + 1, k - 1]
-                if k == 1:  # a character's own piece and its bytes share the edge
-                    bytes_ = share * np.exp(spelt - logs[:, :, 0])
-                    share = share - bytes_
-                    kinds, back = np.unique(codes, return_inverse=True)
-                    for char, x in zip(kinds.tolist(), np.bincount(back.ravel(), bytes_.ravel(), len(kinds)), strict=True):
-                        for b in chr(char).encode("utf-8"):
-                            out[b] += x
-                known = piece >= 0
-                out += np.bincount(piece[known], share[known], len(out))
+            out[rows] = self.forward(codes)
         return out
 
 
@@ -204,161 +190,131 @@ def log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[..., None]).sum(-1))
 
 
-def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c) over all rows; the empty word counts ends, one for each text."""
+def count_words(texts: DataFrame, text: str, train: str) -> DataFrame:
+    """(word, c, seen): counts in the rows where `train` holds, and in all; the empty word counts ends, one for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        learnt: Counter[bytes] = Counter()
+        held: Counter[bytes] = Counter()
+
+        def pack() -> pa.RecordBatch:
+            words = list(learnt.keys() | held.keys())
+            c = [learnt.get(w, 0) for w in words]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array([n + held.get(w, 0) for w, n in zip(words, c, strict=True)], pa.int64())], ["word", "c", "seen"])
+            learnt.clear()
+            held.clear()
+            return out
+
         for batch in batches:
-            for raw in common.as_bytes(batch.column(text)):
-                counts.update(raw.lower().split())
-                if len(counts) > REMEMBERED:
+            for raw, own in zip(batch.column(text), batch.column(train).to_pylist(), strict=True):
+                counts = learnt if own else held
+                counts.update((raw.as_buffer().to_pybytes() if raw.is_valid else b"").lower().split())
+                counts[b""] += 1
+                if len(learnt) + len(held) > REMEMBERED:
                     yield pack()
-                    counts = Counter()
-            counts[b""] += batch.num_rows
-        if counts:
+        if learnt or held:
             yield pack()
 
-    return texts.select(text).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = texts.select(F.col(text).cast("binary").alias(text), train)
+    return rows.mapInArrow(run, "word string, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
 def bucket(c: Column) -> Column:
     return F.floor(F.log2(c) * FINE)
 
 
-def expected(words: DataFrame, pieces: Pieces) -> dict[int, float]:
-    """Expected counts of pieces over (word, c); as many numbers as there are pieces come to the driver."""
+def marginals(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """`words` with lattice: ln of the marginal of each word over its segmentations, 0 for the empty one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pieces.names))
-        for batch in batches:
-            total += pieces.expect([MARK + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy().astype(float))
-        k = np.flatnonzero(total)
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["piece", "n"])
-
-    return {r.piece: r.n for r in words.where("word <> ''").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-
-
-def refined(start: Pieces, counts: dict[int, float], ends: int) -> tuple[Pieces, float]:
-    """Pieces with the probabilities of `counts`, smoothed by the file's own; and ln of the end's."""
-    total = sum(counts.values()) + PRIOR + ends + 1
-    logs = [math.log((counts.get(k, 0.0) + PRIOR * math.exp(log)) / total) for k, log in enumerate(start.logs.tolist())]
-    return Pieces(start.names, logs), math.log((ends + 1) / total)
-
-
-class Scorer:
-    """What a worker needs to score texts; remembers the marginals of words."""
-
-    def __init__(self, pieces: Pieces, end: float, known: dict[bytes, int]):
-        self.pieces, self.end, self.known, self.kept = pieces, end, known, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remembers the marginals of words, or starts afresh with these where they would be too many."""
-        if len(self.kept) + len(words) > REMEMBERED:
-            self.kept.clear()
-            fresh = list(words)
-        else:
-            fresh = [w for w in words if w not in self.kept]
-        if fresh:
-            self.kept.update(zip(fresh, self.pieces.marginals([MARK + w.decode("utf-8") for w in fresh]).tolist(), strict=True))
+    def make():
+        def each(batch):
+            names = batch.column("word").to_pylist()
+            own = [MARK + w for w in names if w]
+            values = iter(pieces.marginals(own).tolist())
+            return common.replaced(batch, [], lattice=pa.array([next(values) if w else 0.0 for w in names], pa.float64()))
 
-    def texts(self, raws: list[bytes]) -> list[tuple[int, int, float, float, list[tuple[bytes, int]]]]:
-        """For each text (tokens, known ones, sum of ln(c + 0.5), ln probability, words to be looked up).
+        return each
 
-        Words that are not among the common ones count as unseen here.
-        """
-        out, held, size = [], [], 0
-        for raw in raws:
-            held.append(raw.lower().split())
-            size += len(held[-1])
-            if size > SLAB:
-                out += self._texts(held)
-                held, size = [], 0
-        return out + self._texts(held)
-
-    def _texts(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float, list[tuple[bytes, int]]]]:
-        self.learn({w for words in texts for w in words})
-        ends, known, kept, out = self.known.get(b"", 0), self.known, self.kept, []
-        for words in texts:
-            seen, base, score, rest = int(ends > 0), math.log(ends + 0.5), self.end, []
-            for word, n in Counter(words).items():
-                score += n * kept[word]
-                if c := known.get(word):
-                    seen += n
-                    base += n * math.log(c + 0.5)
-                else:
-                    base += n * LN_HALF
-                    rest.append((word, n))
-            out.append((len(words) + 1, seen, base, score, rest))
-        return out
+    return common.arrow_map(words, make, words.withColumn("lattice", F.lit(0.0)).schema)
 
 
-def score(df: DataFrame, train: Column, vocabulary: str, *, text: str = "text", common_words: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
+def score(df: DataFrame, train: Column, vocabulary: str, *, text: str = "text", common_words: int = COMMON) -> DataFrame:
     """`df` without `text`, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     train: which rows are learnt from. vocabulary: path of a sentencepiece model file.
     """
-    counts = common.materialize(count_words(df.where(train).select(text)), "lm-counts")
+    uid, own, rest, flag = common.unused(df, "uid", "own", "rest", "flag")
+    pieces = Pieces.load(vocabulary)
+    counted = common.materialize(count_words(df.select(text, F.coalesce(train, F.lit(False)).alias(flag)), text, flag), "lm-counts")
     # a row for each bucket of counts: some hundreds, whatever the input's size
-    levels = sorted(((r.b, r.n, r.s) for r in counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()), reverse=True)
-    n_words, n_tokens = sum(n for _, n, _ in levels), sum(s for _, _, s in levels)
+    found = counted.groupBy(bucket(F.col("seen")).alias("b")).agg(F.count("*").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum("c").alias("s")).collect()
+    levels = sorted(((r.b, r.n) for r in found), reverse=True)
+    v, total = sum(r.v for r in found), sum(r.s for r in found)
     least, taken = (levels[0][0] + 1 if levels else 0), 0
-    for b, n, _ in levels:
+    for b, n in levels:
         if taken + n > common_words:
             break
         least, taken = b, taken + n
-    often = counts.where((bucket(F.col("c")) >= least) | (F.col("word") == ""))
-    known_rows = often.toArrow()
-    known = dict(zip((w.encode() for w in known_rows.column("word").to_pylist()), known_rows.column("c").to_pylist(), strict=True))
-    ends = known.get(b"", 0)
-
-    start = Pieces.load(vocabulary)
-    pieces, end = refined(start, {}, ends)
-    for _ in range(rounds + 1 if n_words else 0):
-        pieces, end = refined(start, expected(counts, pieces), ends)
-    total = math.log(n_tokens + 0.5 * (n_words + 1))
-    model = (pieces.names, pieces.logs, end, known_rows)
+
+    # the marginals of all words sum to 1: the pieces that begin a word have the share that the others leave, where a word stops
+    prior = v + 1
+    given = F.when(F.col("word") == "", F.lit(END_SHARE)).otherwise((1 - END_SHARE) * F.exp("lattice"))
+    # a marginal can be too small for a double: of a word without a count its ln is taken by itself
+    deep = F.col("lattice") + math.log((1 - END_SHARE) * prior)
+    ln = F.when((F.col("c") == 0) & (F.col("word") != ""), deep).otherwise(F.log(F.col("c") + prior * given)) - math.log(total + prior)
+    base = F.log(F.col("c") + 0.5) - math.log(total + 0.5 * (v + 1))
+    valued = common.materialize(marginals(counted, pieces).select("word", (F.col("c") > 0).alias("known"), base.alias("base"), ln.alias("ln"), "seen"), "lm-words")
+    common.forget(counted)
+    often = valued.where((bucket(F.col("seen")) >= least) | (F.col("word") == "")).drop("seen").toArrow().combine_chunks()
     key = ("lattice", common.uuid.uuid4().hex)
 
     def make():
         from pyspark import TaskContext
 
-        def load() -> Scorer:
-            names, logs, end, rows = model
-            return Scorer(Pieces(names, logs), end, dict(zip((w.encode() for w in rows.column("word").to_pylist()), rows.column("c").to_pylist(), strict=True)))
+        def load() -> dict[bytes, tuple[bool, float, float]]:
+            return dict(zip(often.column("word").cast(pa.binary()).to_pylist(), zip(*(often.column(c).to_pylist() for c in ("known", "base", "ln")), strict=True), strict=True))
 
-        scorer, task, row = common.keep(key, load), TaskContext.get().partitionId() << 33, 0
+        values, task, row = common.keep(key, load), TaskContext.get().partitionId() << 33, 0
 
         def each(batch):
             nonlocal row
-            found = scorer.texts(common.as_bytes(batch.column(text)))
-            columns = list(zip(*found, strict=True))
-            rest = pa.array([[{"word": w.decode("utf-8"), "n": n} for w, n in r] for r in columns[4]], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
-            uid = pa.array(range(task + row, task + row + batch.num_rows), pa.int64())
-            row += batch.num_rows
+            out, words, times, ends = [], [], [], [0]
+            for raw in batch.column(text):
+                counts = Counter((raw.as_buffer().to_pybytes() if raw.is_valid else b"").lower().split())
+                (known, base, ln), tokens = values[b""], 1 + counts.total()
+                seen = int(known)
+                for word, n in counts.items():
+                    if (x := values.get(word)) is None:
+                        words.append(word)
+                        times.append(n)
+                    else:
+                        seen += n * x[0]
+                        base += n * x[1]
+                        ln += n * x[2]
+                ends.append(len(words))
+                out.append((tokens, seen, base, ln))
+            first, row = task + row, row + batch.num_rows
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            own = {name: pa.array(c, k) for name, c, k in zip(("__tokens", "__seen", "__base", "__score"), columns, kinds, strict=False)}
-            return common.replaced(batch, [text], __uid=uid, **own, __rest=rest)
+            sums = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["tokens", "seen", "base", "ln"])
+            looked = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+            return common.replaced(batch, [text], **{uid: pa.array(range(first, first + batch.num_rows), pa.int64()), own: sums, rest: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), looked)})
 
         return each
 
-    out = df.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    added = {"__uid": F.lit(0).cast("long"), "__tokens": F.lit(0).cast("long"), "__seen": F.lit(0).cast("long"), "__base": F.lit(0.0), "__score": F.lit(0.0), "__rest": F.expr("cast(array() as array<struct<word:string,n:int>>)")}
+    out = df.drop("n_tokens", "n_known", "train_tokens", "base_score", "score").withColumn(text, F.col(text).cast("binary"))
+    added = {uid: F.lit(0).cast("long"), own: F.expr("named_struct('tokens', 0L, 'seen', 0L, 'base', 0D, 'ln', 0D)"), rest: F.expr("cast(array() as array<struct<word:string,n:int>>)")}
     rows = common.materialize(common.arrow_map(out, make, out.drop(text).withColumns(added).schema), "lm-rows")
-    if len(known) < n_words:
-        looked_up = rows.select("__uid", F.inline("__rest"))
-        rare = counts.where((bucket(F.col("c")) < least) & (F.col("word") != ""))
-        more = looked_up.join(rare, "word").groupBy("__uid").agg(F.sum("n").alias("__more"), F.sum(F.col("n") * (F.log(F.col("c") + 0.5) - LN_HALF)).alias("__gain"))
-        rows = rows.drop("__rest").join(more, "__uid", "left")
-    else:
-        rows = rows.withColumns({"__more": F.lit(0), "__gain": F.lit(0.0)})
-    return rows.select(
-        *(c for c in out.columns if c != text),
-        F.col("__tokens").alias("n_tokens"),
-        (F.col("__seen") + F.coalesce("__more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
-        ((F.col("__base") + F.coalesce("__gain", F.lit(0.0)) - F.col("__tokens") * total) / LN10).alias("base_score"),
-        (F.col("__score") / LN10).alias("score"),
+    looked_up = rows.select(F.col(uid).alias("uid"), F.inline(rest))
+    rare = valued.where((bucket(F.col("seen")) < least) & (F.col("word") != ""))
+    more = looked_up.join(rare, "word").groupBy("uid").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("seen"), F.sum(F.col("n") * F.col("base")).alias("base"), F.sum(F.col("n") * F.col("ln")).alias("ln"))
+    rows, more = rows.drop(rest).alias("r"), more.alias("m")
+    joined = rows.join(more, F.col(f"r.{uid}") == F.col("m.uid"), "left")
+    plus = lambda name: F.col(f"r.{own}.{name}") + F.coalesce(F.col(f"m.{name}"), F.lit(0))
+    return joined.select(
+        *(F.col(f"r.`{c}`") for c in out.columns if c != text),
+        F.col(f"r.{own}.tokens").alias("n_tokens"),
+        plus("seen").cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (plus("base") / LN10).alias("base_score"),
+        (plus("ln") / LN10).alias("score"),
     )
