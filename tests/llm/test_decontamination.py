@@ -11,11 +11,20 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(texts, items, overlap=decontaminate.OVERLAP):
-    parts = [(i, decontaminate.shingles(decontaminate.words(t))) for i, t in items if t and decontaminate.words(t)]
+    """Items whose question and answer a text has: four fifths of the shingles, or all words in a row of what is shorter."""
+
+    def has(ws, part):
+        if len(part) < 5:
+            return any(ws[k : k + len(part)] == part for k in range(len(ws) - len(part) + 1))
+        there = {" ".join(ws[k : k + 5]) for k in range(len(ws) - 4)}
+        own = {" ".join(part[k : k + 5]) for k in range(len(part) - 4)}
+        return len(own & there) / len(own) >= overlap
+
+    parts = [(i, [decontaminate.words(p) for p in decontaminate.question_and_answer(t)]) for i, t in items if t and decontaminate.words(t)]
     out = {}
     for d, t in texts:
-        s = decontaminate.shingles(decontaminate.words(t or "")) | {w for w in [" ".join(decontaminate.words(t or ""))] if w}
-        out[d] = sorted(i for i, p in parts if len(p & s) / len(p) >= overlap)
+        ws = decontaminate.words(t or "")
+        out[d] = sorted(i for i, p in parts if all(has(ws, x) for x in p if x))
     return out
 
 
@@ -37,12 +46,16 @@ def test_planted_passages_are_found_and_others_not(spark):
         at = rng.randrange(0, len(body) + 1)
         item = items[rng.randrange(60)][1].upper() if k % 3 == 0 else ""
         texts.append((k, " ".join([*body[:at], item, *body[at:]])))
+    long = " ".join(f"q{k}" for k in range(30))
+    items += [(61, long + "? An answer that is long enough"), (62, "Paris is lovely")]
     texts += [(900, None), (901, ""), (902, "... !!"), (903, "z " * 100_000 + items[5][1] + " z" * 100_000)]
+    texts += [(910, long), (911, long + " z" * 700 + " an answer that is long enough"), (912, "so Paris is lovely, too"), (913, "paris is so lovely"), (914, "one two three")]
     table = spark.createDataFrame([(i, t, [1], True) for i, t in texts], "doc_id int, text string, hits array<int>, contaminated boolean")
     bench = spark.createDataFrame([*items, (70, None), (71, " "), (72, "one two")], "item_id long, text string")
     got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.mark(table, bench).collect()}
     assert got == brute(texts, items + [(72, "one two")])
     assert all(got[k] for k in range(0, 150, 3)) and got[903] == [5]
+    assert [got[k] for k in range(910, 915)] == [[], [61], [62], [], [72]]
     assert decontaminate.mark(table.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in decontaminate.mark(table, bench.limit(0)).collect())
 
@@ -80,12 +93,8 @@ def test_items_longer_than_a_slab(monkeypatch):
 def test_shards_give_the_same(spark):
     docs, items = common.read(spark, SF, "documents").select("doc_id", "text"), common.read(spark, SF, "benchmark")
     whole = {r.doc_id: r.hits for r in decontaminate.mark(docs, items).collect()}
-    size, decontaminate.shards.__defaults__ = decontaminate.shards.__defaults__, (7,)
-    try:
-        assert len(decontaminate.shards(items)) > 3
-        assert {r.doc_id: r.hits for r in decontaminate.mark(docs, items).collect()} == whole
-    finally:
-        decontaminate.shards.__defaults__ = size
+    assert len(list(decontaminate.shards(items, 7))) > 3
+    assert {r.doc_id: r.hits for r in decontaminate.mark(docs, items, size=7).collect()} == whole
 
 
 def test_question_and_answer():

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -26,13 +27,14 @@ def edit_distance_at_most_one(a, b):
 
 
 def brute_lines(rows, min_chars):
-    """Kept text by row: a line goes if an earlier line of the corpus is at most one edit away."""
+    """Kept text by row: a line goes if an earlier line of the corpus equals it or, both being long, is one edit away."""
     seen = []
-    places = [((i is not None, i or 0), p, line) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if len(line) >= min_chars]
+    places = [((i is not None, i or 0), p, line) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" \t\n\v\f\r")]
     places.sort(key=lambda x: x[:2])
     gone = set()
     for key, p, line in places:
-        if any(edit_distance_at_most_one(line, other) for other in seen):
+        long = len(line) >= min_chars
+        if any(line == other or (long and len(other) >= min_chars and edit_distance_at_most_one(line, other)) for other in seen):
             gone.add((key, p))
         seen.append(line)
     return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if ((i is not None, i or 0), p) not in gone) for i, t in rows]
@@ -48,14 +50,17 @@ def test_lines_match_brute_force(spark):
     base = ["".join(rng.choice("ab ") for _ in range(rng.randrange(18, 70))) for _ in range(60)]
     pool = base + [edited(rng, x) for x in base for _ in range(3)] + [edited(rng, edited(rng, x)) for x in base]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "é" * 30 + "\n" + "é" * 31 + "\n" + "é" * 29), (104, "x" * 20_000), (105, "x" * 20_001 + "\nshort\nshort")]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "é" * 30 + "\n" + "é" * 31 + "\n" + "é" * 29), (104, "x" * 20_000), (105, "x" * 20_001 + "\nshort\nshort\n \n ")]
+    text = "".join(rng.choice("abcdef") for _ in range(3000))
+    rows += [(110, text), (111, text[:1777] + "?" + text[1778:]), (112, text[:2990] + text[2991:]), (113, text[:1] + "!" + text[1:] + "\n" + text[:40] + "??" + text[42:])]
     rng.shuffle(rows)
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, version int, n_lines int").repartition(5)
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, version int, n_lines int, __gone int, gone int").repartition(5)
     got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
     want = dict(zip((i for i, _ in rows), brute_lines(rows, line_dedup.MIN_CHARS), strict=True))
     assert {i: r.text for i, r in got.items()} == want
     assert got[100].n_lines == 0 and got[101].n_lines == 1 and got[102].n_dropped == 0 and got[103].n_dropped == 2
-    assert got[105].text == "short\nshort" and got[0].version == 1
+    assert got[105].text == "short\n \n " and (got[0].version, got[0]["__gone"], got[0].gone) == (1, 3, 4)
+    assert [got[k].n_dropped for k in (110, 111, 112, 113)] == [0, 1, 1, 1]
 
 
 def test_lines_real_text(spark):
@@ -73,6 +78,8 @@ def test_lines_null_ids_repeated_rows_and_empty_table(spark):
     assert line_dedup.dedup(df.limit(0)).collect() == []
     alone = spark.createDataFrame([(2, line), (2, line), (3, line)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(alone).collect()) == [(2, line), (2, line), (3, "")]
+    with pytest.raises(ValueError):
+        line_dedup.dedup(alone, min_chars=15)
 
 
 def test_stage_removes_repeats_of_short_lines(spark):
@@ -120,10 +127,10 @@ def test_simhash_real_text(spark):
     assert {r.doc_id: r.component_id for r in got} == plain_components(rows)
 
 
-@pytest.mark.parametrize("bucket", [1, 24])
+@pytest.mark.parametrize("bits", [1, 2])
 @pytest.mark.parametrize("segments", [8, 16])
-def test_links_match_brute_force(spark, bucket, segments):
-    rng = random.Random(bucket + segments)
+def test_links_match_brute_force(spark, bits, segments):
+    rng = random.Random(bits + segments)
     fps = set()
     for _ in range(12):
         f = rng.getrandbits(64)
@@ -131,13 +138,14 @@ def test_links_match_brute_force(spark, bucket, segments):
             fps.add(f)
             for _ in range(rng.randrange(1, 4)):
                 f ^= 1 << rng.randrange(64)
-    fps |= {0, (1 << 64) - 1, 1 << 63, (1 << 63) | 1, 1 << 31, 3}
+    fps |= {0, (1 << 64) - 1, 1 << 63, (1 << 63) | 1, 1 << 31, 3} | {0xABCD << 40 | k for k in range(200)}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    edges = [(r.a, r.b) for r in simhash.links(df, bucket=bucket, segments=segments).collect()]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
-    if bucket == 24:
-        assert len(edges) == len(set(edges))
+    edges = [(r.a, r.b) for r in simhash.links(df, bits=bits, segments=segments).collect()]
+    listed = sorted(map(signed, fps))
+    assert sorted(edges) == [(a, b) for k, a in enumerate(listed) for b in listed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits]
+    if bits < 2:
+        return
     got = {r.v: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ids = {f: k for k, f in enumerate(sorted(fps, key=signed))}
     want = plain_components([(ids[f], f) for f in fps])
@@ -153,7 +161,8 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_simhash_odd_rows(spark):
     rows = [(3, None), (1, ""), (2, " \t\n"), (None, ""), (5, "one"), (6, "ONE"), (6, "ONE"), (7, "É x"), (8, "word " * 30_000), (None, "only null id here")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, fp int")
+    df = spark.createDataFrame([(*r, 9, 8, 7, 6, 5) for r in rows], "doc_id long, text string, fp int, __fp int, Version int, hash int, row int")
+    assert simhash.similar(df).where("Version = 7 and hash = 6 and row = 5").count() == len(rows)
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert got == {(3, 1), (1, 1), (2, 1), (None, 1), (5, 5), (6, 5), (7, 7), (8, 8), (None, None)}
     assert simhash.near_duplicates(df.limit(0)).collect() == []
@@ -185,6 +194,15 @@ def plain_similar(rows):
     return {i: top(i) for i, _ in rows}
 
 
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 5), (60, 70), (64, 65), (500, 900), (3000, 2900)):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.unique(np.concatenate([rng.choice(a, n // 2, replace=False), rng.integers(0, 1 << 62, m).astype(np.uint64)]))
+        assert simhash.sketches_apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+        assert simhash.sketches_apart(simhash.sketch(a), simhash.sketch(a)) == 0
+
+
 def test_stage_finds_all_similar_texts(spark):
     rng = random.Random(5)
     texts = []

@@ -3,21 +3,24 @@
 The test items are indexed: postings in order of item, cut into blocks, each with the
 greatest score it can give. Every training text is cut into overlapping passages, and each
 passage is a query: `Index.search` is block-max WAND, which retrieves every item whose score
-reaches `threshold` of the item's score for itself. Retrieved items are verified: `overlap`
-or more of the item's five-word shingles, of question and answer together, are in the text's
-passage; the shares of question and answer alone are reported too.
+reaches `threshold` of the item's score for itself. Retrieved items are verified on the whole
+text: `overlap` or more of the question's five-word shingles must be in it, and of the
+answer's; what has fewer words than a shingle must be there word for word.
 
-Items come in shards of at most SHARD (their number is counted first), and texts pass all
-shards in one narrow chain: what is shipped to executors is bounded whatever the table's size.
+Items come in shards of at most SHARD (their number is counted first). The driver builds one
+index at a time and hands it to Spark as a broadcast variable; each worker goes through the
+shards in turn, one in memory at a time, so what any process holds is bounded whatever the
+table's size, and the texts are read once.
 
 Defined results: null and empty texts, and texts without a word, are clean. Items that are
-null or without a word are left out. Items of fewer than five words are one shingle. Repeated
-items are each reported. Rows of `docs` are independent. Extra columns pass through;
-the names of RESULT are replaced.
+null or without a word are left out. Repeated items are each reported. Rows of `docs` are
+independent; an empty table on either side gives an empty or a clean result. Extra columns
+pass through; the names of RESULT are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,16 +49,23 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+#: Where sentences end: at a mark before white space, or at a line's end. Fixed values, as the SQL twin has them.
+SENTENCE = regex.compile(r"(?<=[.!?])[\x09-\x0D\x20]+|\n")
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The last sentence of several is the answer; a single sentence has none."""
-    parts = [p for p in regex.split(r"(?<=[.!?])\s+|\n", text.strip()) if TOKEN.search(p)]
+    parts = [p for p in SENTENCE.split(text) if TOKEN.search(p)]
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+def each_shingle(ws: list[str]) -> Iterator[str]:
+    """The shingles of a list of words in order; a list of fewer words is one."""
+    return (" ".join(ws[k : k + SHINGLE]) for k in range(max(1, len(ws) - SHINGLE + 1)) if ws)
+
+
 def shingles(ws: list[str]) -> set[str]:
-    if not ws:
-        return set()
-    return {" ".join(ws[k : k + SHINGLE]) for k in range(max(1, len(ws) - SHINGLE + 1))}
+    return set(each_shingle(ws))
 
 
 @dataclass
@@ -67,7 +77,8 @@ class Index:
     first: np.ndarray  # where each term's postings start
     block: int  # items in a block
     peaks: np.ndarray  # (terms, blocks): the greatest score a term gives in a block
-    parts: list[tuple[set[str], set[str], set[str]]]  # shingles of item, question, answer
+    parts: list[tuple[set[str], ...]]  # shingles of item, question, answer
+    short: list[tuple[bool, ...]]  # which of these have fewer words than a shingle
     passage: int
 
     @classmethod
@@ -99,11 +110,9 @@ class Index:
         block = -(-n // BLOCKS)
         peaks = np.zeros((len(terms) + 1, -(-n // block)), np.float32)
         np.maximum.at(peaks, (term, items // block), scores)
-        parts = []
-        for _, ws, t in split:
-            q, a = question_and_answer(t)
-            parts.append((shingles(ws), shingles(words(q)), shingles(words(a))))
-        return cls([i for i, _, _ in split], terms, items, scores, np.searchsorted(term, np.arange(len(terms) + 2)), block, peaks, parts, max(PASSAGE, 2 * max(len(ws) for _, ws, _ in split)))
+        three = [(ws, *map(words, question_and_answer(t))) for _, ws, t in split]
+        parts, short = [tuple(map(shingles, x)) for x in three], [tuple(len(ws) < SHINGLE for ws in x) for x in three]
+        return cls([i for i, _, _ in split], terms, items, scores, np.searchsorted(term, np.arange(len(terms) + 2)), block, peaks, parts, short, max(PASSAGE, 2 * max(len(ws) for _, ws, _ in split)))
 
     def wand(self, query: np.ndarray, block: int, threshold: float) -> list[int]:
         """Items of one block whose score for the distinct terms `query` reaches the threshold."""
@@ -163,47 +172,62 @@ class Index:
         return found
 
     def leaks(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item id, shares of its shingles, its question's and its answer's) in order of id; the best passage counts."""
-        ws, best = words(text), {}
+        """(item id, shares of its shingles, its question's and its answer's that the text has) in order of id."""
+        ws, found = words(text), set()
         codes = np.fromiter((self.terms.get(w, 0) for w in ws), np.int64, len(ws))
         half = self.passage // 2
         step = max(SLAB // half, 1) * half
         for k in range(0, max(len(ws) - half, 1), step):
-            for passage, items in self.search(codes[k : k + step + half], threshold).items():
-                # the search's threshold is on scores; whole passages are verified, whatever retrieved them
-                there = shingles(ws[k + passage * half : k + (passage + 2) * half])
-                for d in items:
-                    shares = tuple(len(p & there) / len(p) if p else 1.0 for p in self.parts[d])
-                    if shares[0] >= overlap:
-                        best[d] = max(best.get(d, shares), shares)
-        return sorted(((self.ids[d], *s) for d, s in best.items()), key=lambda x: (x[0] is None, x[0]))
-
-
-def shards(items: DataFrame, size: int = SHARD) -> list[Index]:
-    """Indexes over all of `items` (item_id, text), each of about `size` at most."""
+            for items in self.search(codes[k : k + step + half], threshold).values():
+                found.update(items)
+        if not found:
+            return []
+        wanted = set().union(*(p for d in found for p in self.parts[d]))
+        there = {s for s in each_shingle(ws) if s in wanted}
+        if any(any(self.short[d]) for d in found):
+            whole = f" {' '.join(ws)} "
+            there |= {s for d in found for p, few in zip(self.parts[d], self.short[d], strict=True) if few for s in p if f" {s} " in whole}
+        out = []
+        for d in found:
+            shares = tuple(len(p & there) / len(p) if p else 1.0 for p in self.parts[d])
+            if min(shares[1:]) >= overlap:
+                out.append((self.ids[d], *shares))
+        return sorted(out, key=lambda x: (x[0] is None, x))
+
+
+def shards(items: DataFrame, size: int = SHARD) -> Iterator[Index]:
+    """Indexes over all of `items` (item_id, text), each of about `size` at most, one after another."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = -(-rows.count() // size)
-    out = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        out.append(Index.build(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x))))
-    return [i for i in out if i]
+        index = Index.build(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x)))
+        if index:
+            yield index
 
 
-def mark(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text") -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", size: int = SHARD) -> DataFrame:
     """`docs` with hits (array of item_id, overlap, question, answer, by id) and contaminated."""
-    out = docs.drop(*RESULT).withColumn("hits", F.expr("cast(array() as array<struct<item_id:bigint,overlap:double,question:double,answer:double>>)"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     names = ("item_id", "overlap", "question", "answer")
-    for index in shards(items):
-
-        def make(index=index):
-            def each(batch):
-                texts, had = common.as_texts(batch.column(text)), batch.column("hits").to_pylist()
-                hits = [h + [dict(zip(names, x, strict=True)) for x in index.leaks(t, threshold, overlap)] for t, h in zip(texts, had, strict=True)]
-                return common.replaced(batch, ["hits"], hits=pa.array(hits, kind))
-
-            return each
-
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n in names[1:])]))
+    out = docs.drop(*RESULT).withColumn("hits", F.expr("cast(array() as array<struct<item_id:bigint,overlap:double,question:double,answer:double>>)"))
+    boxes = [docs.sparkSession.sparkContext.broadcast(index) for index in shards(items, size)]
+
+    def make():
+        def each(batch):
+            texts = batch.column(text)
+            hits = [[] for _ in range(len(texts))]
+            for box in boxes:
+                index = box.value
+                for own, t in zip(hits, texts, strict=True):
+                    if t.is_valid:
+                        own += [dict(zip(names, x, strict=True)) for x in index.leaks(t.as_py(), threshold, overlap)]
+                if len(boxes) > 1:  # the next one takes its place
+                    box.__dict__.pop("_value", None)
+            return common.replaced(batch, ["hits"], hits=pa.array(hits, kind))
+
+        return each
+
+    if boxes:
         out = common.arrow_map(out, make, out.schema)
     return out.withColumn("hits", F.array_sort("hits")).withColumn("contaminated", F.size("hits") > 0)

@@ -5,13 +5,13 @@ The learned, encoding and component queries have none; tests hold them against p
 
 from __future__ import annotations
 
-#: As the query: lines of 20 characters or more go if an earlier one equals them or is one edit away.
-LINES = """
+#: As the query: lines that are not blank go if an earlier one equals them or, both having 20 characters or more, is one edit away.
+LINES = r"""
 with split as (select doc_id, string_split(text, chr(10)) as a from documents),
 l as (select doc_id, unnest(range(len(a))) as pos, unnest(a) as line from split),
-u as (select line, length(line) as n, min({'d': doc_id, 'p': pos}) as first from l where length(line) >= 20 group by line),
+u as (select line, length(line) as n, min({'d': doc_id, 'p': pos}) as first from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by line),
 near as (
-  select distinct x.line from u x join u y on y.first < x.first and y.n between x.n - 1 and x.n + 1
+  select distinct x.line from u x join u y on y.first < x.first and x.n >= 20 and y.n >= 20 and y.n between x.n - 1 and x.n + 1
     and (left(x.line, least(x.n, y.n) // 2) = left(y.line, least(x.n, y.n) // 2) or right(x.line, (least(x.n, y.n) + 1) // 2) = right(y.line, (least(x.n, y.n) + 1) // 2))
   where case
     when x.n = y.n then list_sum(list_transform(range(1, x.n + 1), lambda i: case when x.line[i] <> y.line[i] then 1 else 0 end)) <= 1
@@ -31,14 +31,21 @@ select page_id, cast(n as bigint) as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as intact
 from d join f using (s)"""
 
-#: Shingles of five words; an item is in a text that has 0.8 or more of them.
+#: Shingles of five words; an item is in a text that has 0.8 or more of its question's and of its answer's, or has what is shorter word for word.
 LEAKS = r"""
-with w as (select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as ws from documents
-  union all select 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') from benchmark),
-s as (select distinct side, id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
-size as (select id as item, count(*) as n from s where side = 'b' group by id),
-hit as (select x.id as doc_id, y.id as item from s x join s y on x.sh = y.sh and x.side = 'd' and y.side = 'b' join size on size.item = y.id group by x.id, y.id, n having count(*) >= 0.8 * n)
-select d.doc_id, count(item) > 0 as contaminated, count(item) as n_items, coalesce(string_agg(cast(item as varchar), ',' order by item), '') as item_ids
+with parts as (select item_id, text, list_filter(string_split(regexp_replace(text, '([.!?])[\x09-\x0D\x20]+', '\1' || chr(10), 'g'), chr(10)), lambda p: regexp_matches(p, '[\p{L}\p{N}]')) as ps from benchmark where text is not null),
+qa as (select item_id, 'q' as part, case when len(ps) > 1 then array_to_string(ps[:-2], ' ') else text end as t from parts where len(ps) > 0
+  union all select item_id, 'a', ps[-1] from parts where len(ps) > 1),
+i as (select item_id, part, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as ws from qa),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as ws from documents),
+ish as (select distinct item_id, part, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) as sh from i where len(ws) >= 5),
+dsh as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) as sh from d where len(ws) >= 5),
+size as (select item_id, part, count(*) as n from ish group by item_id, part),
+long as (select doc_id, item_id, part from dsh join ish using (sh) join size using (item_id, part) group by doc_id, item_id, part, n having count(*) >= 0.8 * n),
+has as (select * from long union all
+  select doc_id, item_id, part from d join i on len(i.ws) < 5 and contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' ')),
+hit as (select doc_id, item_id from has group by doc_id, item_id having count(*) = (select count(*) from i where i.item_id = has.item_id))
+select d.doc_id, count(item_id) > 0 as contaminated, count(item_id) as n_items, coalesce(string_agg(cast(item_id as varchar), ',' order by item_id), '') as item_ids
 from documents d left join hit using (doc_id) group by d.doc_id"""
 
 
