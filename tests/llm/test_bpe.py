@@ -41,7 +41,18 @@ def test_same_as_the_library(spark, name):
     if name == "byte_bpe_50k.json":
         assert {k: r.decoded for k, r in got.items()} == {k: library.decode(i, skip_special_tokens=False) for k, i in enumerate(want)}
         assert all(r.decoded == (rows[k] or "") for k, r in got.items())
-    assert bpe.encode(df.limit(0), path).collect() == []
+    assert {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(df, path).collect()} == {k: (r.ids, r.decoded) for k, r in got.items()}
+    assert bpe.encode(df.limit(0), path).collect() == [] == bpe.round_trip(df.limit(0), path).collect()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_as_the_library(name):
+    path = public_tokenizers.path(name)
+    merges, library = bpe.Merges(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"a{c}1 {c}!" for c in points[k : k + 128]) for k in range(0, len(points), 128)]
+    for text, want in zip(rows, library.encode_batch(rows, add_special_tokens=False), strict=True):
+        assert [i for _, pieces in merges.parts(text) for p in pieces for i in merges.encode(p)] == want.ids
 
 
 def test_decode_of_any_ids(spark):

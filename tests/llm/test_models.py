@@ -154,6 +154,21 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_chains_cross_blocks_and_long_words_keep_their_features():
+    rng = np.random.default_rng(8)
+    model = lang_crf.Model(["a", "b", "c"], {}, rng.normal(size=(1 << lang_crf.BITS, 3)).astype(np.float32), rng.normal(size=(3, 3)) * 2, rng.normal(size=3))
+    e = lang_crf.Emissions(model)
+    texts = [[f"w{rng.integers(50)}" for _ in range(n)] for n in (1, 63, 64, 65, 128, 129, 500, 3)]
+    got = e.shares([e.codes(t) for t in texts])
+    for t, shares in zip(texts, got, strict=True):
+        whole = e.scores[e.codes(t)].astype(float)[None]
+        marginal, _ = lang_crf.forward_backward(whole, model.move, model.start, np.ones((1, len(t)), bool))
+        assert np.allclose(shares, marginal[0].mean(0))
+    word = "".join(chr(97 + k % 26) for k in range(300))
+    assert len(lang_crf.features(word, {})) == 2 + 6 + 301 + 300
+    assert np.allclose(e.scores[e.codes([word])[0]], model.weights[lang_crf.joined([lang_crf.features(word, {})])[0]].sum(0), atol=1e-3)
+
+
 def test_code_switched_words():
     model = lang_crf.train(["the cat and the dog"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30, rounds=20)
     e = lang_crf.Emissions(model)

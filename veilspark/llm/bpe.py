@@ -33,11 +33,46 @@ from . import common
 
 #: Unicode white space, spelt out as engines disagree on \s for U+001C..U+001F. Fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
+#: Code points that this machine's tables may hold for letters or numbers and those of Unicode 16 do not. Fixed values.
+NEWER = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+#: Capitals of Unicode 16 and 17: first, last, first small letter. Fixed values.
+CAPITALS = "1C89 1C89 1C8A, A7CB A7CB 0264, A7CC A7CC A7CD, A7CE A7CE A7CF, A7D2 A7D2 A7D3, A7D4 A7D4 A7D5, A7DA A7DA A7DB, A7DC A7DC 019B, 10D50 10D65 10D70, 16EA0 16EB8 16EBB"
 #: The pre-tokenizer patterns of the two files, alternatives that cannot clash put in order of frequency. Fixed values.
 PIECES = rf" ?\p{{L}}+| ?\p{{N}}+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 WORDS = rf"\p{{L}}+|\p{{N}}|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Pieces a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+
+
+def ranges() -> list[tuple[int, int]]:
+    return [(int(a, 16), int(z or a, 16)) for a, _, z in (r.partition("-") for r in NEWER.split())]
+
+
+#: The characters of NEWER, as a class; and capitals with their small letters.
+NEW = regex.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in ranges()) + "]")
+SMALL = {first + k: small + k for first, last, small in ([int(x, 16) for x in r.split()] for r in CAPITALS.split(",")) for k in range(last - first + 1)}
+
+
+def latin(text: str) -> bool:
+    """Whether no character is beyond U+00FF: a quick test, as none of NEWER or CAPITALS is within."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def of_unicode_16(pattern: str) -> str:
+    """`pattern` with letters and numbers less those of NEWER."""
+    newer = NEW.pattern
+    return pattern.replace(r"\p{L}", rf"[\p{{L}}--{newer}]").replace(r"\p{N}", rf"[\p{{N}}--{newer}]")
 
 
 def byte_letters() -> list[str]:
@@ -69,7 +104,9 @@ class Merges:
         self.symbol = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
         self.lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {"normalizers": []}).get("normalizers", []))
-        self.pattern = regex.compile(WORDS if self.lowers else PIECES)
+        pattern = WORDS if self.lowers else PIECES
+        # sets that are differences match slowly: texts without a character of NEWER go by the plain ones, with equal results
+        self.pattern, self.exact = regex.compile(pattern), regex.compile("(?V1)" + of_unicode_16(pattern))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         back = {c: b for b, c in enumerate(letters)}
         self.strings: list[bytes] = [b""] * (max([*self.vocab.values(), *self.specials.values()]) + 1)
@@ -82,7 +119,12 @@ class Merges:
         if not self.lowers:
             return text
         # each character alone is lowered, so a capital sigma never takes its final form
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text if latin(text) else text.translate(SMALL)
+
+    def pieces(self, text: str) -> list[str]:
+        text = self.normal(text)
+        return (self.pattern if latin(text) or not NEW.search(text) else self.exact).findall(text)
 
     def symbols(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")
@@ -143,13 +185,13 @@ class Merges:
     def parts(self, text: str) -> list[tuple[int, list[str]]]:
         """(special id or -1, pieces) in order."""
         if self.split is None or not any(s in text for s in self.specials):
-            return [(-1, self.pattern.findall(self.normal(text)))]
+            return [(-1, self.pieces(text))]
         out = []
         for k, part in enumerate(self.split.split(text)):
             if k % 2:
                 out.append((self.specials[part], []))
             elif part:
-                out.append((-1, self.pattern.findall(self.normal(part))))
+                out.append((-1, self.pieces(part)))
         return out
 
 
@@ -172,7 +214,7 @@ class Remembered(dict):
 def _tokenizer(path: str, what: str) -> tuple[Merges, Remembered]:
     def load():
         merges = Merges(path)
-        gc.disable()  # the cache holds no cycles, and collections would walk it again and again
+        gc.freeze()  # the vocabulary stays as it is: collections need not walk it
         return merges, Remembered(getattr(merges, what))
 
     return common.keep(("bpe", path, what), load)
@@ -197,6 +239,18 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", to: str = "n
     return common.arrow_map(kept, make, kept.drop(text).withColumn(to, F.lit(0).cast("long")).schema)
 
 
+def _encoded(merges: Merges, known: Remembered, texts: list[str]) -> pa.ListArray:
+    flat, ends = array("i"), [0]
+    for t in texts:
+        for special, pieces in merges.parts(t):
+            if special >= 0:
+                flat.append(special)
+            else:
+                flat.extend(chain.from_iterable(map(known.__getitem__, pieces)))
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", to: str = "ids") -> DataFrame:
     """`df` without `text`, with the token ids of each whole text in column `to` (array of int)."""
 
@@ -204,16 +258,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", to: str = "ids") -
         merges, known = _tokenizer(tokenizer, "encode")
 
         def each(batch):
-            flat, ends = array("i"), [0]
-            for t in common.as_texts(batch.column(text)):
-                for special, pieces in merges.parts(t):
-                    if special >= 0:
-                        flat.append(special)
-                    else:
-                        flat.extend(chain.from_iterable(map(known.__getitem__, pieces)))
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
-            return common.replaced(batch, [text], **{to: lists})
+            return common.replaced(batch, [text], **{to: _encoded(merges, known, common.as_texts(batch.column(text)))})
 
         return each
 
@@ -221,6 +266,28 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", to: str = "ids") -
     return common.arrow_map(kept, make, kept.drop(text).withColumn(to, F.array().cast("array<int>")).schema)
 
 
+def text_of(strings: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """As `decode` of `encode`, in one pass: `df` without `text`, with `ids` and the text they stand for in column `decoded`."""
+
+    def make():
+        merges, known = _tokenizer(tokenizer, "encode")
+
+        def each(batch):
+            found, lists = [], _encoded(merges, known, common.as_texts(batch.column(text)))
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+            found = [text_of(merges.strings, values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return common.replaced(batch, [text], **{ids: lists, decoded: pa.array(found, pa.string())})
+
+        return each
+
+    kept = df.drop(ids, decoded)
+    return common.arrow_map(kept, make, kept.drop(text).withColumns({ids: F.array().cast("array<int>"), decoded: F.lit("")}).schema)
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """`df` with the text of `ids` in column `to`: vocabulary strings, concatenated; bad UTF-8 is replaced."""
 
@@ -230,7 +297,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded")
         def each(batch):
             column = batch.column(ids)
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False)
-            out = [b"".join(map(strings.__getitem__, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out = [text_of(strings, values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             return common.replaced(batch, [to], **{to: pa.array(out, pa.string())})
 
         return each

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import io
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,6 +113,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Spark's setting for the bytes of an Arrow batch, and its default.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bytes of a batch that are worked on at a time, besides those of a single longer row.
 SLICE_BYTES = 4 << 20
 
@@ -141,7 +145,8 @@ def _row_bytes(column: pa.Array) -> np.ndarray:
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with state: `make` runs once per task and returns the function for its batches, which come in slices.
 
-    What another operator has kept in the worker goes first.
+    What another operator has kept in the worker goes first. Where the session leaves the bytes of an Arrow batch at
+    Spark's default, they are set to those of two slices: JVM and worker each hold a few batches for every running task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +154,11 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             for part in slices(batch) if batch.num_rows else ():
                 yield each(part)
-        pa.default_memory_pool().release_unused()
+        _trim()
 
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, str(2 * SLICE_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -184,11 +192,19 @@ def begun(make: Callable[[], object]) -> object:
     return each
 
 
+def _trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux") and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _let_go() -> None:
     if _kept:
         _kept.clear()
-        gc.enable()
+        gc.unfreeze()
         gc.collect()
+        _trim()
 
 
 def keep(key: object, make: Callable[[], object]) -> object:
@@ -203,7 +219,7 @@ def keep(key: object, make: Callable[[], object]) -> object:
 
 
 #: Texts of more bytes are not learnt from: with the number of rows this bounds what one task holds.
-SAMPLE_TEXT_BYTES = 1 << 16
+SAMPLE_TEXT_BYTES = 1 << 17
 
 
 def labelled_sample(docs: DataFrame, labelled: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:

@@ -6,12 +6,15 @@ words. Transitions between labels are learnt with the feature weights. A documen
 language is the label with the largest mean marginal over its words, so code-switched
 text yields a mixture whose largest share wins.
 
-Chains are runs of at most CHAIN words; a text of any length is taken whole, in slabs
-of bounded memory.
+A text is one chain, whatever its length, and a word has all its n-grams. For speed and bounded
+memory a chain is worked on in blocks of CHAIN words: the product of each block's factors is a
+small matrix, so the messages that enter a block from before and behind are exact. For learning,
+each block is a chain of its own.
 
 Defined results: text that is null or has no letter is `und` with score 0, as is every
 text when there is nothing to learn from. Ties go to the language first in sorted order.
-Rows are independent.
+Rows are independent; an empty table gives an empty result. Other columns pass through;
+lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,37 +34,37 @@ from xxhash import xxh32_intdigest
 from . import common
 
 BITS = 16
-#: Words in a chain; a longer text is several chains.
+#: Words in a block of a chain.
 CHAIN = 64
 #: Documents that are learnt from, at most about.
 SAMPLE_ROWS = 1_500
 #: Entries of the lexicon, at most, for each language.
 LEXICON = 300
-#: Features of a word, at most; those of longer words beyond it are left out.
-WIDTH = 40
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 REMEMBERED = 200_000
-#: Chains that are labelled together.
-SLAB = 2_048
+#: Blocks that are labelled together, and features that are summed together, besides those of one longer text or word.
+SLAB, FEATURES = 2_048, 1 << 18
 
 
 def words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word from 1 on; 0 pads."""
-    word = word[:24] + word[-8:] if len(word) > 32 else word  # letters beyond would exceed WIDTH
+def features(word: str, lexicon: dict[str, int]) -> list[str]:
+    """Names of a word's features."""
     closed = f"<{word}>"
     names = [f"w{word}", f"l{lexicon.get(word, 0)}"]
     names += [f"p{closed[:k]}" for k in (2, 3, 4)] + [f"s{closed[-k:]}" for k in (2, 3, 4)]
     names += [closed[i : i + 2] for i in range(len(closed) - 1)] + [closed[i : i + 3] for i in range(len(closed) - 2)]
-    return [1 + xxh32_intdigest(n) % ((1 << BITS) - 1) for n in names[:WIDTH]]
+    return names
 
 
-def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of labels (chains, words, labels) and, summed, of label pairs; `there` masks words."""
+def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, there: np.ndarray, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of labels (chains, words, labels) and, summed, of label pairs; `there` masks words.
+
+    start: ln of the message that enters each chain, or all; behind: the message that comes back into each chain's end.
+    """
     chains, steps, labels = emit.shape
     peak = emit.max(2, keepdims=True)
     e = np.exp(emit - peak)
@@ -73,7 +77,7 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, ther
         scale[:, t] = a.sum(1, keepdims=True)
         forward[:, t] = a / scale[:, t]
     marginal, pairs = np.empty_like(e), np.zeros((labels, labels))
-    b = np.ones((chains, labels))
+    b = np.ones((chains, labels)) if behind is None else behind
     for t in range(steps - 1, -1, -1):
         marginal[:, t] = forward[:, t] * b
         if t:
@@ -99,6 +103,44 @@ def chained(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, there, text
 
 
+def messages(emit: np.ndarray, move: np.ndarray, start: np.ndarray, there: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the forward message that enters each block, and the backward message that comes into its end.
+
+    Blocks of one text follow each other. A block's matrix is the product of its words' emissions and the moves between them.
+    """
+    n, steps, labels = emit.shape
+    m, e = np.exp(move), np.exp(emit - emit.max(2, keepdims=True))
+    through = np.eye(labels)[None] * e[:, 0, None, :]
+    for t in range(1, steps):
+        on = (through.reshape(-1, labels) @ m).reshape(n, labels, labels) * e[:, t, None, :]
+        through = np.where(there[:, t, None, None], on, through)
+        if t % 8 == 7:
+            through /= through.max((1, 2), keepdims=True)
+    through /= through.max((1, 2), keepdims=True)
+    first = np.searchsorted(text, text)
+    nth = np.arange(n) - first
+    by = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[by], np.arange(int(nth.max(initial=0)) + 2))
+    ahead, back = np.empty((n, labels)), np.ones((n, labels))
+    for d in range(len(cuts) - 1):
+        r = by[cuts[d] : cuts[d + 1]]
+        v = np.einsum("ri,rij->rj", ahead[r - 1], through[r - 1]) @ m if d else np.exp(start)[None].repeat(len(r), 0)
+        ahead[r] = v / v.sum(1, keepdims=True)
+    for d in range(len(cuts) - 2, 0, -1):
+        r = by[cuts[d] : cuts[d + 1]]
+        v = np.einsum("rij,rj->ri", through[r], back[r]) @ m.T
+        back[r - 1] = v / v.sum(1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return np.log(ahead), back
+
+
+def joined(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 1 on of the features of some words one after another, and where each word's start."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    hashes = np.fromiter(map(xxh32_intdigest, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+    return 1 + hashes % ((1 << BITS) - 1), np.cumsum(sizes) - sizes
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -140,10 +182,9 @@ def train(texts: list[str], langs: list[str], *, rounds: int = 3, rate: float =
     codes = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for ws in split for w in ws], np.int64)
     if not len(codes):
         return None
-    table = np.zeros((len(vocabulary) + 1, WIDTH), np.int64)
-    for w, k in vocabulary.items():
-        f = features(w, lexicon)
-        table[k, : len(f)] = f
+    flat, first = joined([[""], *(features(w, lexicon) for w in vocabulary)])
+    flat[0] = 0  # pads
+    size = np.diff(first, append=len(flat))
     rows, there, text = chained(codes, np.cumsum([len(ws) for ws in split]))
     y = np.array(gold)[text]
     n = len(labels)
@@ -154,14 +195,15 @@ def train(texts: list[str], langs: list[str], *, rounds: int = 3, rate: float =
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
             r, th, yy = rows[part], there[part], y[part]
             kinds, back = np.unique(r, return_inverse=True)
-            f = table[kinds]
-            emit = p["w"][f].sum(1)[back].reshape(*r.shape, n)
+            ends = np.cumsum(size[kinds])
+            f = flat[np.arange(ends[-1]) + np.repeat(first[kinds] - ends + size[kinds], size[kinds])]
+            emit = np.add.reduceat(p["w"][f], ends - size[kinds], axis=0)[back].reshape(*r.shape, n)
             marginal, pairs = forward_backward(emit, p["m"], p["s"], th)
             truth = np.zeros_like(marginal)
             truth[np.arange(len(r)), :, yy] = 1
             d = (marginal - truth) * th[..., None]
             by_kind = np.column_stack([np.bincount(back.ravel(), d[..., k].ravel(), len(kinds)) for k in range(n)])
-            grad = {"w": np.column_stack([np.bincount(f.ravel(), np.repeat(by_kind[:, k], WIDTH), 1 << BITS) for k in range(n)])}
+            grad = {"w": np.column_stack([np.bincount(f, np.repeat(by_kind[:, k], size[kinds]), 1 << BITS) for k in range(n)])}
             stays = np.zeros((n, n))
             np.add.at(stays, (yy, yy), np.maximum(th.sum(1) - 1, 0))
             grad["m"], grad["s"] = pairs - stays, (marginal[:, 0] - truth[:, 0]).sum(0)
@@ -182,7 +224,7 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, text: str = "text",
         model = train(table.column("text").to_pylist(), table.column("lang").to_pylist())
         return model.pack() if model else b""
 
-    rows = docs.select(F.xxhash64(F.lit(17), F.col(key)).alias("mixed"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = docs.select(F.xxhash64(F.lit(17), F.col(key)).alias("mixed"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.octet_length("text") <= common.SAMPLE_TEXT_BYTES)
     total, share = rows.count(), 1 << 30
     if total > sample_rows:
         rows = rows.where(F.pmod("mixed", F.lit(share)) < int(share * sample_rows / total))
@@ -203,18 +245,19 @@ class Emissions:
 
     def codes(self, ws: list[str]) -> np.ndarray:
         """Rows of the words of one text from 1 on; row 0 is zero."""
-        fresh = [w for w in dict.fromkeys(ws) if w not in self.rows]
+        fresh = list(set(ws) - self.rows.keys())
         if fresh:
             first = len(self.rows) + 1
             while first + len(fresh) >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            for k in range(0, len(fresh), 4096):
-                part = fresh[k : k + 4096]
-                table = np.zeros((len(part), WIDTH), np.int64)
-                for i, w in enumerate(part):
-                    f = features(w, self.model.lexicon)
-                    table[i, : len(f)] = f
-                self.scores[first + k : first + k + len(part)] = self.model.weights[table].sum(1)
+            held, size, at = [], 0, first
+            for k, w in enumerate(fresh, 1):
+                held.append(features(w, self.model.lexicon))
+                size += len(held[-1])
+                if size > FEATURES or k == len(fresh):
+                    flat, starts = joined(held)
+                    self.scores[at : at + len(held)] = np.add.reduceat(self.model.weights[flat], starts, axis=0)
+                    held, size, at = [], 0, at + len(held)
             self.rows.update((w, first + k) for k, w in enumerate(fresh))
         return np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))
 
@@ -223,10 +266,18 @@ class Emissions:
         ends = np.cumsum([len(c) for c in codes])
         rows, there, text = chained(np.concatenate(codes), ends)
         out = np.zeros((len(codes), len(self.model.labels)))
-        for k in range(0, len(rows), SLAB):
-            r, th = rows[k : k + SLAB], there[k : k + SLAB]
-            marginal, _ = forward_backward(self.scores[r].astype(float), self.model.move, self.model.start, th)
-            np.add.at(out, text[k : k + SLAB], (marginal * th[..., None]).sum(1))
+        at = 0
+        while at < len(rows):
+            # whole texts, of SLAB blocks or so
+            end = int(np.searchsorted(text, text[min(at + SLAB, len(rows)) - 1], side="right"))
+            part = slice(at, end)
+            emit = self.scores[rows[part]].astype(float)
+            start, behind = messages(emit, self.model.move, self.model.start, there[part], text[part])
+            marginal, _ = forward_backward(emit, self.model.move, start, there[part], behind)
+            by_block = (marginal * there[part][..., None]).sum(1)
+            for k in range(by_block.shape[1]):
+                out[:, k] += np.bincount(text[part], by_block[:, k], len(codes))
+            at = end
         return out / np.maximum(np.diff(ends, prepend=0), 1)[:, None]
 
 

@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
