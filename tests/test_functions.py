@@ -17,16 +17,16 @@ def values(spark, f, *inputs):
     [
         ("card", ["4111111111111111", "4532-0151-1283-0366", "378282246310005"], ["4111111111111112", "", "411111"]),
         ("iban", ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606"], ["GB00 WEST 1234 5698 7654 32", "ZZ82WEST12345698765432", "x"]),
-        ("bic", ["DEUTDEFF", "BNPAFRPPXXX"], ["DEUTZZFF", "deutdeff", "DEUTDEF"]),
+        ("bic", ["DEUTDEFF", "BNPAFRPPXXX", "DEUTCAFF", "ROYCCAT2"], ["DEUTZZFF", "deutdeff", "DEUTDEF"]),
         ("ssn", ["123-45-6789"], ["000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000"]),
         ("routing", ["021000021", "011401533"], ["021000022", "12"]),
         ("rib", ["20041010050500013M02606"], ["20041010050500013M02607", "x"]),
-        ("email", ["a.b@mail.org"], ["a@example.com", "a..b@mail.org", ".a@mail.org", "a@-mail.org", "a@b@c.org"]),
-        ("email_short", ["a@example.com"], ["a@b", "a..b@c.org"]),
-        ("phone", ["+1 (212) 555-0199"], ["1234567", "1111111111", "12341234567"]),
-        ("phone_country", ["+33 6 12 34 56 78", "+966512345678", "0512345678"], ["+33 6 12", "12"]),
+        ("email", ["a.b@mail.org"], ["a@example.com", "a@test.com", "1@mail.org", "a@my_mail.org", "a..b@mail.org", ".a@mail.org", "a@-mail.org", "a@b@c.org"]),
+        ("email_short", ["a@mail.org"], ["a@b", "a..b@c.org", "a@example.com", "1@mail.org"]),
+        ("phone", ["+1 (212) 555-0199", "90129012"], ["1234567", "1111111111", "12341234567", "0112342345"]),
+        ("phone_country", ["+33 6 98 47 35 12", "+966598473512", "0598473512"], ["+33 6 12", "12", "+966412983547", "+11125550199", "012983547", "+33 6 12 34 56 78"]),
         ("crypto", ["0x52908400098527886E0F7030069857D2E4169EE7", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"], ["0x" + "0" * 40, "1A1z", "hello"]),
-        ("vat", ["DE123456789", "FRXX999999999"], ["DE12", "ZZ123456789", "4111111111111111"]),
+        ("vat", ["DE123456789", "FRXX999999999", "ZZ123456789", "IEA2345678B"], ["DE12", "GR123456789", "de123456789", "4111111111111111"]),
         ("payment_token", ["tok_1234567890abcdef"], ["tok_1", "xok_1234567890abcdef"]),
         ("investment_id", ["INV-123456789", "FUND-ABCDEFGH"], ["INV-1"]),
         ("loan_number", ["LN-2023-12345", "LOAN-ABCDEFGH"], ["LN-1"]),
@@ -44,7 +44,8 @@ def test_validator_cascades(spark):
     near = lambda words: lambda x: validate.arabic_financial_kind(x, F.lit(words))
     assert values(spark, near("الرقم الضريبي"), "123456789012345") == ["VAT_NUMBER"]
     assert values(spark, near("بطاقة"), "4111111111111111", "5") == ["CREDIT_CARD", "FINANCIAL_INFO"]
-    assert values(spark, lambda x: validate.common_word(x, F.lit("en")), "The", "an", "Boston") == [True, True, False]
+    assert values(spark, lambda x: validate.common_word(x, F.lit("en")), "The", "an", "Boston", "they", "People") == [True, True, False, True, True]
+    assert values(spark, lambda x: validate.common_word(x, F.lit("ar")), "شركة", "تطوير", "محمد") == [True, True, False]
     assert values(spark, lambda x: validate.request_error(x, F.lit("en")), "", None, "x") == ["text is empty", "text is empty", None]
     assert values(spark, lambda x: validate.request_error(F.lit("t"), x), "xx") == ["unsupported language xx"]
 
@@ -98,10 +99,12 @@ def test_scores(spark):
     assert values(spark, lambda x: score.arabic_context_score(F.lit(""), x), "أب", "محمد أحمد") == [pytest.approx(0.3), pytest.approx(0.6)]
     assert values(spark, lambda x: score.french_score(F.lit("FR_PHONE"), F.split(x, "\\|"), F.lit(1)), "tel ici|appelez|rien", "a|b|c") == [pytest.approx(0.9), 0.7]
     assert values(spark, lambda x: score.ner_score(F.lit("PERSON"), x, F.lit("dear mr")), "Smith") == [0.95]
-    assert values(spark, lambda x: score.normalized_score(F.lit("PERSON"), x, F.lit(0.8), F.lit(1), F.lit(False)), "John", "J") == [pytest.approx(0.88), pytest.approx(0.22)]
+    assert values(spark, lambda x: score.normalized_score(F.lit("PERSON"), x, F.lit(0.8), F.lit(1), F.lit(False)), "John", "J") == [pytest.approx(0.8), pytest.approx(0.2)]
+    assert values(spark, lambda x: score.normalized_score(F.lit("EMAIL"), x, F.lit(0.5), F.lit(2), F.lit(False), F.lit(True)), "a@mail.org") == [pytest.approx(0.72)]
+    assert values(spark, lambda x: score.normalized_score(F.lit("TIME"), x, F.lit(0.8), F.lit(0), F.lit(False)), "many  days", "noon") == [None, pytest.approx(0.8)]
     assert values(spark, lambda x: score.normalized_score(F.lit("CARDINAL"), x, F.lit(0.8), F.lit(0), F.lit(False)), "12") == [None]
     assert values(spark, score.type_name, "per", "GPE", "Other") == ["PERSON", "LOCATION", "OTHER"]
-    assert values(spark, score.number_context, "my credit card", "vat id", "none") == ["CREDIT_CARD", "TAX_ID", "UNKNOWN"]
+    assert values(spark, score.number_context, "my credit card", "vat id", "security code", "document id", "expiry cvv", "none") == ["CREDIT_CARD", "TAX_ID", "CREDIT_CARD", "REFERENCE", "CREDIT_CARD", "UNKNOWN"]
     assert values(spark, lambda x: score.adapted_threshold(F.lit(0.93), x.cast("int"), F.lit(10)), "1", "2") == [0.93, 0.95]
     assert values(spark, lambda x: score.name_group_score(F.lit(0.8), F.lit(1), x.cast("int")), "1", "5") == [pytest.approx(0.95), 1.0]
     e = spark.createDataFrame([(1, 0, 5, "A", "PERSON", "spacy"), (1, 3, 8, "B", "PERSON", "presidio"), (1, 20, 22, "C", "X", "spacy")], "doc_id int, start int, end int, text string, type string, method string")

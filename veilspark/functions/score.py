@@ -35,12 +35,12 @@ def hits(context: Column, words: tuple[str, ...]) -> Column:
 
 
 def pattern_score(kind: Column, x: Column) -> Column:
-    digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
+    """What a match of a pattern is worth: more if it has its type's full shape."""
     return (
-        F.when(kind == "EMAIL", F.when(x.rlike(r"^[^@]+@[^@]+\.[^@]+$"), 0.95).otherwise(0.5))
-        .when(kind == "PHONE_NUMBER", F.when(digits >= 10, 0.9).otherwise(0.7))
+        F.when(kind == "EMAIL", F.when(F.get(F.split(x, "@"), F.lit(1)).contains("."), 0.95).otherwise(0.5))
+        .when(kind == "PHONE_NUMBER", F.when(x.rlike(r"^\+?1?\d{3}[-.]?\d{3}[-.]?\d{4}$"), 0.9).otherwise(0.7))
         .when(kind == "CREDIT_CARD", F.when(luhn(x, 13, 19), 0.95).otherwise(0.6))
-        .when(kind == "SSN", F.when(digits == 9, 0.9).otherwise(0.7))
+        .when(kind == "SSN", F.when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), 0.9).otherwise(0.7))
         .otherwise(0.8)
     )
 
@@ -101,14 +101,25 @@ def ner_score(kind: Column, x: Column, context: Column) -> Column:
     return F.when((kind == "PERSON") & titled, 0.95).when((kind == "LOCATION") & street, 0.95).when(x.contains(" "), 0.9).otherwise(0.85)
 
 
-def normalized_score(kind: Column, x: Column, score: Column, methods: Column, is_common: Column) -> Column:
-    """Length, common-word and agreement factors; null drops the span (bare cardinals and times)."""
-    n, bare = F.length(x), F.length(F.btrim(x, F.lit(" .,;:!?")))
-    full = kind.isin("EMAIL", "CREDIT_CARD", "SSN", "IBAN", "IP_ADDRESS")
-    out = score * F.when(n < 2, 0.5).when(n < 3, 0.7).otherwise(1.0) * F.when(is_common, 0.8).otherwise(1.0)
-    out = F.when(full, F.least(out * 1.2, F.lit(1.0))).otherwise(out) * (1 + F.lit(0.1) * methods)
-    out = F.least(out, F.lit(1.0)) * F.when(bare < 3, 0.5).otherwise(1.0)
-    return F.when(kind.isin("CARDINAL", "TIME") & (x.rlike(r"^\d{1,3}$") | (bare < 3)), F.lit(None)).otherwise(out)
+#: Phrases of time that are no dates. Fixed values.
+NO_DATES = (r"countless\s+(?:hours|days|weeks|months|years)", r"(?:few|many|several)\s+(?:hours|days|weeks|months|years)", "(?:early|late|mid)")
+
+
+def normalized_score(kind: Column, x: Column, score: Column, methods: Column, is_common: Column, shaped: Column | None = None, sensitive: Column | None = None) -> Column:
+    """A score by length, common words, shape and number of methods; null drops the span.
+
+    shaped: whether the whole of x matches a pattern; sensitive: whether a card's, phone's or SSN's pattern is in it.
+    """
+    kind, n, bare = F.upper(kind), F.length(x), F.trim(x)
+    out = score * F.when(n < 2, 0.5).when(n < 3, 0.7).otherwise(1.0)
+    out = F.when(~kind.isin("PERSON", "ORG", "GPE", "LOC") & is_common, out * 0.8).otherwise(out)
+    if shaped is not None:
+        out = F.when(kind.isin("EMAIL", "PHONE_NUMBER", "SSN", "CREDIT_CARD") & shaped, F.least(F.lit(1.0), out * 1.2)).otherwise(out)
+    out = F.when(methods > 1, F.least(F.lit(1.0), out * (1 + F.lit(0.1) * methods))).otherwise(out)
+    idle = bare.rlike(r"^\d+$") | F.lower(x).rlike("|".join(NO_DATES))
+    gone = kind.isin("CARDINAL", "TIME") & idle
+    gone = gone | ((kind == "CARDINAL") & ~(F.lit(False) if sensitive is None else sensitive))
+    return F.when(~gone, F.when((F.length(bare) < 3) & ~kind.isin("ID", "AGE"), out * 0.5).otherwise(out))
 
 
 def name_group_score(best: Column, methods: Column, parts: Column) -> Column:
@@ -136,14 +147,21 @@ def normal_value(kind: Column, x: Column) -> Column:
     return F.when((kind == "PHONE_NUMBER") & (F.length(d) == 10), phone).when((kind == "CREDIT_CARD") & luhn(x, 13, 19), card).otherwise(x)
 
 
+#: What tells kinds of numbers apart nearby. Fixed values.
+NUMBER_CONTEXTS = {
+    "CREDIT_CARD": ("(?i)(?:credit|debit|card|visa|mastercard|amex)", "(?i)(?:expir|cvv|security code)"),
+    "TAX_ID": ("(?i)(?:tax|fiscal|vat|tva)", "(?i)(?:number|id|identifier)"),
+    "REFERENCE": ("(?i)(?:ref|reference|invoice|document)", "(?i)(?:number|id|#)"),
+}
+
+
 def number_context(context: Column) -> Column:
     """What a number is called nearby: the kind with most patterns in the context, in this order at a tie."""
-    votes = {"CREDIT_CARD": ("card", "credit", "visa", "carte", "بطاقة"), "TAX_ID": ("tax", "vat", "tva", "ضريب"), "REFERENCE": ("ref", "order", "invoice", "facture", "رقم")}
-    counted = {k: hits(context, ws) for k, ws in votes.items()}
-    top = F.greatest(*counted.values())
+    votes = {kind: sum((context.rlike(p).cast("int") for p in patterns), F.lit(0)) for kind, patterns in NUMBER_CONTEXTS.items()}
+    top = F.greatest(*votes.values())
     out = F.lit("UNKNOWN")
-    for k in reversed(votes):
-        out = F.when((top > 0) & (counted[k] == top), k).otherwise(out)
+    for kind in reversed(votes):
+        out = F.when((top > 0) & (votes[kind] == top), kind).otherwise(out)
     return out
 
 

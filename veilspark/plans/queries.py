@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mask, score
+from ..functions import mask, score, validate
 from ..functions import text as tx
 from ..functions.rules import EMAIL_PLAIN, PROFILES, Profile, Rule
 from ..operators import evaluate, report, resolve, retrieve
@@ -51,7 +51,6 @@ EMAIL_SQL = r"'(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'"
 EMAIL_CASED_SQL = r"'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'"
 EMAIL_PLAIN_SQL = r"'[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'"
 IP_SQL = r"'\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b'"
-CARD_SQL = r"'\b(?:\d{4}[-\s]?){3}\d{4}\b'"
 CARD16_SQL = r"'\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b'"
 PHONE_SQL = r"'(?:\+\d{1,3}[-. ]?)?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}'"
 IP_LIGHT_SQL = r"'\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b'"
@@ -471,3 +470,108 @@ def chunks_joined_again(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text is not null and text <> ''")
     pieces = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("chunk", "text"))
     return tx.join_chunks(pieces)
+
+
+# ---- validators and scores on fixed inputs -------------------------------------------------------
+
+
+def cases(spark: SparkSession, *inputs: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in inputs], "x string")
+
+
+def cases_sql(*inputs: str) -> str:
+    return "(values " + ", ".join("('" + x.replace("'", "''") + "')" for x in inputs) + ") as c(x)"
+
+
+ADDRESSES = ("a.b@mail.org", "Ann@sub.mail-x.fr", "a@example.com", "x@TEST.com", "me@mydomain.com", "a..b@mail.org", "12@mail.org", "1a@mail.org", "a@my_mail.org", "a@b@c.org", ".a@mail.org", "a.@mail.org", "a@-mail.org", "a@mail.org-", "no address", "", "Ann <ann@mail.org>", "a@b", "a@mail.o")
+_REJECTED_SQL = "regexp_matches({x}, '(?i)(example\\.com$|test\\.com$|domain\\.com$|@.*@|\\.{{2,}}|^[0-9]+@|@.*_.*\\.)')"
+
+
+@query(f"""
+with a as (select x, case when contains(x, '<') and contains(x, '>') then regexp_extract(x, '<(.*?)>', 1) else x end as e from {cases_sql(*ADDRESSES)})
+select x, regexp_matches(x, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') and not {_REJECTED_SQL.format(x="x")} as short,
+  regexp_matches(e, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z|]{{2,}}$') and not {_REJECTED_SQL.format(x="e")}
+  and length(split_part(e, '@', 1)) <= 64 and not regexp_matches(split_part(e, '@', 1), '^\\.|\\.$') and regexp_full_match(split_part(e, '@', 2), '[A-Za-z0-9.]([A-Za-z0-9.-]*[A-Za-z0-9.])?') as strict from a""")
+def checked_addresses(spark, sf_dir):
+    return cases(spark, *ADDRESSES).select("x", validate.email_short(F.col("x")).alias("short"), validate.email(F.col("x")).alias("strict"))
+
+
+PHONES = ("+33 6 98 47 35 12", "0033698473512", "+966598473512", "+966412983547", "+971512983547", "+12125550199", "+11125550199", "+442079460958", "+440079460958", "0512983547", "051298354", "0698473512", "0098473512", "012983547", "212-555-0199", "1111198473", "12341234567", "90129012", "0112342345", "1234567", "+4915298473512", "1234567890123456")
+
+
+@query(f"""
+with d as (select x, case when starts_with(x, '+') then '+' else '' end || regexp_replace(x, '[^0-9]', '', 'g') as d from {cases_sql(*PHONES)}),
+v as (select x, d, regexp_replace(d, '^(\\+|00)', '') as r, length(d) between 8 and 15
+  and not regexp_matches(d, '0{{5}}|1{{5}}|2{{5}}|3{{5}}|4{{5}}|5{{5}}|6{{5}}|7{{5}}|8{{5}}|9{{5}}') and not regexp_matches(d, '(0123|1234|2345|3456|4567|5678|6789|7890){{2}}') as plain from d)
+select x, plain, plain and case
+    when regexp_matches(d, '^(\\+|00)') then case
+      when r[1:3] in ('966', '971') then length(r) = 12 and r[4] in ('5', '7', '8', '9')
+      when r[1:2] = '33' then length(r) = 11 and r[3] <> '0'
+      when r[1:2] = '44' then length(r) in (11, 12) and r[3] <> '0'
+      when r[1] = '1' then length(r) = 11 and r[2] not in ('0', '1')
+      else regexp_full_match(r, '([0-9]{{1,3}})?[1-9][0-9]{{7,11}}') end
+    when d[1:2] = '05' then length(d) = 10
+    when d[1] = '0' then length(d) = 10 and d[2] <> '0'
+    else regexp_full_match(d, '([0-9]{{1,3}})?[1-9][0-9]{{7,11}}') end as by_country from v""")
+def checked_phones(spark, sf_dir):
+    return cases(spark, *PHONES).select("x", validate.phone(F.col("x")).alias("plain"), validate.phone_country(F.col("x")).alias("by_country"))
+
+
+VATS = ("FR12345678901", "FRXX999999999", "fr12345678901", "DE123456789", "DE 123 456 789", "DE12345678", "GB123456789", "GB123456789012", "IE1A234567B", "IEA2345678B", "BE2234567890", "EL123456789", "GR123456789", "ZZ123456789", "ZZ1234", "PL1234567890", "ATU12345678", "123456789012345", "100000000000000", "4111111111111111", "", "x")
+
+
+@query(f"""
+with s as (select x, replace(x, ' ', '') as s, regexp_replace(x, '[^0-9]', '', 'g') as d from {cases_sql(*VATS)}),
+t as (select *, upper(s[1:2]) as c,
+  d <> '' and list_sum(list_transform(range(0, length(d)), lambda i: case when i % 2 = 0 then cast(d[length(d) - i] as int) else (cast(d[length(d) - i] as int) * 2) // 10 + (cast(d[length(d) - i] as int) * 2) % 10 end)) % 10 = 0 as card,
+  list_sum(list_transform(range(1, 16, 2), lambda i: try_cast(d[i] as int))) as odd, list_sum(list_transform(range(2, 16, 2), lambda i: try_cast(d[i] as int))) as even from s)
+select x, not card and ((regexp_full_match(s, '[0-9]{{15}}') and odd % 11 = 0 and even % 7 = 0) or (length(s) >= 8 and case
+    when c in ('DE', 'PT') then regexp_full_match(s, c || '[0-9]{{9}}') when c in ('LU', 'DK', 'FI') then regexp_full_match(s, c || '[0-9]{{8}}')
+    when c = 'FR' then regexp_full_match(s, 'FR[0-9A-Z]{{2}}[0-9]{{9}}') when c = 'GB' then regexp_full_match(s, 'GB([0-9]{{9}}|[0-9]{{12}})') when c = 'IT' then regexp_full_match(s, 'IT[0-9]{{11}}')
+    when c = 'ES' then regexp_full_match(s, 'ES[A-Z0-9][0-9]{{7}}[A-Z0-9]') when c = 'BE' then regexp_full_match(s, 'BE[0-9]{{10}}') when c = 'NL' then regexp_full_match(s, 'NL[0-9]{{9}}B[0-9]{{2}}')
+    when c = 'AT' then regexp_full_match(s, 'ATU[0-9]{{8}}') when c = 'GR' then regexp_full_match(s, 'EL[0-9]{{9}}') when c = 'IE' then regexp_full_match(s, 'IE[0-9A-Z+*][0-9]{{7}}[A-Z]') when c = 'SE' then regexp_full_match(s, 'SE[0-9]{{12}}')
+    else regexp_full_match(s, '[A-Z]{{2}}[0-9A-Z]{{8,12}}') end)) as good from t""")
+def checked_vat_numbers(spark, sf_dir):
+    return cases(spark, *VATS).select("x", validate.vat(F.col("x")).alias("good"))
+
+
+NUMBERS = ("123-45-6789", "000-45-6789", "666-45-6789", "900-45-6789", "899-12-3456", "123-00-6789", "123-45-0000", "021000021", "011401533", "021000022", "12")
+
+
+@query(f"""
+with n as (select x, regexp_replace(x, '[^0-9]', '', 'g') as d from {cases_sql(*NUMBERS)})
+select x, length(d) = 9 and d[1:3] not in ('000', '666') and d[1:3] < '900' and d[4:5] <> '00' and d[6:9] <> '0000' as ssn,
+  length(d) = 9 and (3 * (try_cast(d[1] as int) + try_cast(d[4] as int) + try_cast(d[7] as int)) + 7 * (try_cast(d[2] as int) + try_cast(d[5] as int) + try_cast(d[8] as int)) + try_cast(d[3] as int) + try_cast(d[6] as int) + try_cast(d[9] as int)) % 10 = 0 as routing from n""")
+def checked_us_numbers(spark, sf_dir):
+    return cases(spark, *NUMBERS).select("x", validate.ssn(F.col("x")).alias("ssn"), validate.routing(F.col("x")).alias("routing"))
+
+
+NEARBY = ("my credit card", "security code", "document id", "expiry cvv", "VAT number 12", "fiscal", "Reference #12", "tax invoice id", "none", "", "visa debit, tax number")
+
+
+@query(f"""
+with v as (select x, cast(regexp_matches(x, '(?i)(credit|debit|card|visa|mastercard|amex)') as int) + cast(regexp_matches(x, '(?i)(expir|cvv|security code)') as int) as a,
+  cast(regexp_matches(x, '(?i)(tax|fiscal|vat|tva)') as int) + cast(regexp_matches(x, '(?i)(number|id|identifier)') as int) as b,
+  cast(regexp_matches(x, '(?i)(ref|reference|invoice|document)') as int) + cast(regexp_matches(x, '(?i)(number|id|#)') as int) as c from {cases_sql(*NEARBY)})
+select x, case when a + b + c = 0 then 'UNKNOWN' when a >= b and a >= c then 'CREDIT_CARD' when b >= c then 'TAX_ID' else 'REFERENCE' end as kind from v""")
+def number_contexts(spark, sf_dir):
+    return cases(spark, *NEARBY).select("x", score.number_context(F.col("x")).alias("kind"))
+
+
+FOUND = ("EMAIL|ann@mail.org", "EMAIL|ann@mail", "PHONE_NUMBER|212-555-0199", "PHONE_NUMBER|+1 (212) 555-0199", "PHONE_NUMBER|12125550199", "CREDIT_CARD|4111111111111111", "CREDIT_CARD|4111111111111112", "SSN|123-45-6789", "SSN|123456789", "DATE|1/2/2020", "PERSON|J", "PERSON|Al", "PERSON|They", "DATE|they", "TIME|12", "TIME|early morning", "CARDINAL|twelve", "ID|A1", "ORG|the")
+
+
+@query(f"""
+with k as (select x, split_part(x, '|', 1) as kind, split_part(x, '|', 2) as v from {cases_sql(*FOUND)})
+select x, cast(case kind when 'EMAIL' then case when contains(split_part(v, '@', 2), '.') then 0.95 else 0.5 end
+    when 'PHONE_NUMBER' then case when regexp_full_match(v, '\\+?1?[0-9]{{3}}[-.]?[0-9]{{3}}[-.]?[0-9]{{4}}') then 0.9 else 0.7 end
+    when 'CREDIT_CARD' then case when {luhn_sql("v")} then 0.95 else 0.6 end
+    when 'SSN' then case when regexp_full_match(v, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') then 0.9 else 0.7 end else 0.8 end as double) as by_pattern,
+  case when (kind in ('CARDINAL', 'TIME') and (regexp_full_match(trim(v), '[0-9]+') or regexp_matches(lower(v), '(few|many|several|countless)\\s+(hours|days|weeks|months|years)|early|late|mid'))) or kind = 'CARDINAL' then null
+    else round(cast(0.8 as double) * case when length(v) < 2 then 0.5 when length(v) < 3 then 0.7 else 1 end * case when kind not in ('PERSON', 'ORG', 'GPE', 'LOC') and (length(trim(v)) < 3 or lower(v) in ('the', 'they')) then 0.8 else 1 end
+      * case when length(trim(v)) < 3 and kind not in ('ID', 'AGE') then 0.5 else 1 end, 6) end as normalized from k""")
+def scored_finds(spark, sf_dir):
+    rows = cases(spark, *FOUND).withColumns({"kind": F.split("x", r"\|")[0], "v": F.split("x", r"\|")[1]})
+    kind, v = F.col("kind"), F.col("v")
+    plain = score.normalized_score(kind, v, F.lit(0.8), F.lit(1), validate.common_word(v, F.lit("en")))
+    return rows.select("x", score.pattern_score(kind, v).alias("by_pattern"), F.round(plain, 6).alias("normalized"))
