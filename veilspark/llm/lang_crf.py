@@ -245,7 +245,7 @@ class Emissions:
 
     def codes(self, ws: list[str]) -> np.ndarray:
         """Rows of the words of one text from 1 on; row 0 is zero."""
-        fresh = list(set(ws) - self.rows.keys())
+        fresh = [w for w in set(ws) if w not in self.rows]
         if fresh:
             first = len(self.rows) + 1
             while first + len(fresh) >= len(self.scores):
