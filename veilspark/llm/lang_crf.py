@@ -110,12 +110,16 @@ def messages(emit: np.ndarray, move: np.ndarray, start: np.ndarray, there: np.nd
     """
     n, steps, labels = emit.shape
     m, e = np.exp(move), np.exp(emit - emit.max(2, keepdims=True))
-    through = np.eye(labels)[None] * e[:, 0, None, :]
-    for t in range(1, steps):
-        on = (through.reshape(-1, labels) @ m).reshape(n, labels, labels) * e[:, t, None, :]
-        through = np.where(there[:, t, None, None], on, through)
-        if t % 8 == 7:
-            through /= through.max((1, 2), keepdims=True)
+    through, whole = np.eye(labels)[None] * e[:, 0, None, :], there.all(1)
+    for rows in (whole, ~whole):
+        part, own, live = through[rows], np.ascontiguousarray(e[rows].transpose(1, 0, 2)), there[rows]
+        for t in range(1, steps if len(part) else 0):
+            on = (part.reshape(-1, labels) @ m).reshape(part.shape)
+            on *= own[t][:, None, :]
+            part = on if rows is whole else np.where(live[:, t, None, None], on, part)
+            if t % 8 == 7:
+                part /= part.max((1, 2), keepdims=True)
+        through[rows] = part
     through /= through.max((1, 2), keepdims=True)
     first = np.searchsorted(text, text)
     nth = np.arange(n) - first
