@@ -370,11 +370,14 @@ def set_links(rows: DataFrame, docs: DataFrame, *, shingle: int, similarity: flo
 
     Each shared shingle first gives stars around one member, so that large groups of copies come together by
     as many pairs as they have members; then all pairs follow that share one and are not together yet.
+    The first stars are around the member with the fewest rarer shingles, as a text that others were made from
+    has few of its own. Of the pairs that follow, those go whose shared shingle, were it their first, would come too
+    late: neither set has more in common than what it holds from there on. Sets that are alike have a first that does not.
     """
     first = rows.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("x"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     distinct = common.materialize(first.select("fp", "x.*", "n", "sketch", "prefix"), "near-distinct")
     places = distinct.drop("prefix")
-    keyed = distinct.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    keyed = distinct.select("fp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     often = common.materialize(keyed.groupBy("token").count().where("count > 1").select("token"), "near-often")
     shared = common.materialize(keyed.join(often, "token"), "near-shared")
     common.forget(often)
@@ -387,7 +390,7 @@ def set_links(rows: DataFrame, docs: DataFrame, *, shingle: int, similarity: flo
             roots = components(found).withColumnRenamed("v", "fp")
             rooted = common.materialize(left.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-left")
             common.forget(now)
-        open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "n", "root"), F.xxhash64(F.lit(k), F.col("fp"))).alias("hub")).where("low <> high")
+        open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "n", "root"), F.struct(F.lit(0) if k else F.col("pos"), F.xxhash64(F.lit(k), F.col("fp")))).alias("hub")).where("low <> high")
         now = common.materialize(rooted.join(open_.select("token", "hub"), "token"), "near-open")
         common.forget(rooted, left)
         if k < STARS:
@@ -395,8 +398,9 @@ def set_links(rows: DataFrame, docs: DataFrame, *, shingle: int, similarity: flo
         else:
             x, y = now.alias("x"), now.alias("y")
             apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
-            pairs = x.join(y, apart & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        left = now.select("fp", "n", "token")
+            early = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+            pairs = x.join(y, apart & fits(F.col("x.n"), F.col("y.n")) & early).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        left = now.select("fp", "n", "pos", "token")
         pairs = pairs.distinct()
         pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-candidates")
         tried = pairs if tried is None else tried.unionByName(pairs)
