@@ -13,7 +13,7 @@ from ..functions.rules import EMAIL_PLAIN, PROFILES, Profile, Rule
 from ..operators import evaluate, report, resolve, retrieve
 from ..operators.scan import candidate_regions as candidate_regions_of
 from ..streaming import stream
-from . import pipeline
+from . import pipeline, twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,10 +153,15 @@ def risk_by_document(spark, sf_dir):
     return report.risk(docs, found).select("doc_id", "risk_level", "n_entities")
 
 
-@query()
+@query(f"""
+with k as (select doc_id, type, count(*) as n, case type when 'EMAIL' then 1 when 'PHONE_NUMBER' then 2 else 3 end as worst from ({SIMPLE_SQL}) group by doc_id, type),
+r as (select doc_id, max(worst) as worst, cast(sum(n) as bigint) as n_entities, string_agg('Found ' || n || ' ' || type || '(s).', chr(10) order by type) as found from k group by doc_id)
+select doc_id, case coalesce(worst, 0) when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'HIGH' else 'CRITICAL' end as risk_level, coalesce(n_entities, 0) as n_entities,
+  case coalesce(worst, 0) when 0 then '{report.ADVICE["LOW"][0]}' when 1 then '{chr(10).join(report.ADVICE["MEDIUM"])}' when 2 then '{chr(10).join(report.ADVICE["HIGH"])}' else '{chr(10).join(report.ADVICE["CRITICAL"])}' end || coalesce(chr(10) || found, '') as recommendations
+from documents left join r using (doc_id)""")
 def risk_recommendations(spark, sf_dir):
     found = hits(spark, sf_dir, only("simple", "EMAIL", "PHONE_NUMBER", "CREDIT_CARD", "BANK_ACCOUNT"))
-    return report.risk(read(spark, sf_dir, "documents"), found)
+    return report.risk(read(spark, sf_dir, "documents"), found).withColumn("recommendations", F.array_join("recommendations", "\n"))
 
 
 @query(f"""
@@ -191,9 +196,12 @@ def best_per_type_and_text(spark, sf_dir):
 # ---- policies ------------------------------------------------------------------------------------
 
 
+POLICY_TYPES = ("PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "DATE", "SOCIAL_SECURITY", "EMAIL")
+
+
 def _policy(name: str, profile: str = "light") -> Query:
     def f(spark, sf_dir):
-        p = only(profile, "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "DATE", "SOCIAL_SECURITY", "EMAIL", policy=name)
+        p = only(profile, *POLICY_TYPES, policy=name)
         return pipeline.entities(read(spark, sf_dir, "documents"), p).select("doc_id", "type", "text", "start", "end")
 
     f.__name__ = f"policy_{name}"
@@ -201,7 +209,7 @@ def _policy(name: str, profile: str = "light") -> Query:
 
 
 for _name in ("greedy_first", "sweep_replace", "sweep_margin", "score_first_sweep", "touching_sweep", "interval_union", "iou"):
-    query()(_policy(_name))
+    query(twins.entities(only("light", *POLICY_TYPES), _name))(_policy(_name))
 
 
 def _profile(name: str) -> Query:
@@ -213,8 +221,10 @@ def _profile(name: str) -> Query:
     return f
 
 
-for _name in PROFILES:
-    query()(_profile(_name))
+#: Profiles without a twin: their patterns need ends of words, or white space, that SQL's expressions do not have.
+NO_TWIN = ("common", "fallback", "rich")
+for _name, _rules in PROFILES.items():
+    query(None if _name in NO_TWIN else twins.analysis(_rules, bound=_name in ("light", "code")))(_profile(_name))
 
 
 @query(f"""
@@ -226,7 +236,7 @@ def phones_inside_cards(spark, sf_dir):
     return resolve.overlapping_pairs(cards, phones).where(F.col("a_text").contains(F.col("b_text"))).select("doc_id", F.col("a_text").alias("card"), F.col("b_text").alias("phone")).distinct()
 
 
-@query()
+@query(twins.regions(only("simple", "CREDIT_CARD", "PHONE_NUMBER", "BANK_ACCOUNT")))
 def region_islands(spark, sf_dir):
     found = resolve.regions(hits(spark, sf_dir, only("simple", "CREDIT_CARD", "PHONE_NUMBER", "BANK_ACCOUNT")))
     return found.select("doc_id", "island", "start", "end", F.array_join("kinds", "+").alias("kinds"))
@@ -253,7 +263,13 @@ def eval_prf_by_type(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query()
+@query(f"""
+with {EMAIL_SETS_SQL}, o as (select coalesce(a.type, b.type) as type, a.type is not null as p, b.type is not null as t from a full outer join b on a.doc_id = b.doc_id and a.text = b.text and a.type = b.type),
+c as (select type, count(*) filter (p and t) as tp, count(*) filter (p) as np, count(*) filter (t) as nt from o group by type),
+m as (select case when np > 0 then tp / np else 0 end as pr, case when nt > 0 then tp / nt else 0 end as rc, case when tp > 0 then 2.0 * tp / (np + nt) else 0 end as f1 from c),
+s as (select sum(tp) as tp, sum(np) as np, sum(nt) as nt from c)
+select (select round(coalesce(avg(pr), 0), 6) from m) as macro_precision, (select round(coalesce(avg(rc), 0), 6) from m) as macro_recall, (select round(coalesce(avg(f1), 0), 6) from m) as macro_f1,
+  round(coalesce(case when np > 0 then tp / np end, 0), 6) as micro_precision, round(coalesce(case when nt > 0 then tp / nt end, 0), 6) as micro_recall, round(coalesce(case when tp > 0 then 2.0 * tp / (np + nt) end, 0), 6) as micro_f1 from s""")
 def eval_macro_micro(spark, sf_dir):
     pred, truth = _sets(spark, sf_dir)
     out = evaluate.averages(evaluate.by_type(evaluate.outcomes(pred, truth, on=("text", "type"))))
@@ -341,12 +357,19 @@ def overlapping_windows(spark, sf_dir):
     return tx.explode_chunks(docs, tx.windows(F.col("text"))).select("doc_id", "offset", "text")
 
 
-@query()
+@query("""
+with recursive p as (select doc_id, flatten(list_transform(regexp_extract_all(text, '(?s).*?(?:\\. |$)'), lambda s: regexp_extract_all(s, '(?s).{1,500}'))) as pieces from documents),
+e as (select doc_id, unnest(range(1, length(pieces) + 1)) as i, unnest(pieces) as piece from p),
+r as (select doc_id, i, 0 as chunk, length(piece) as used, piece from e where i = 1
+  union all select r.doc_id, e.i, case when used + length(e.piece) <= 500 then chunk else chunk + 1 end, case when used + length(e.piece) <= 500 then used else 0 end + length(e.piece), e.piece from r join e on e.doc_id = r.doc_id and e.i = r.i + 1)
+select doc_id, chunk, string_agg(piece, '' order by i) as text from r group by doc_id, chunk""")
 def sentence_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"), 500)).alias("chunk", "text"))
 
 
-@query()
+@query("""
+with c as (select doc_id, regexp_extract_all(text, '(?s).{1,399}(?:\\s|$)|.{1,400}') as t from documents), e as (select doc_id, unnest(t) as text, unnest(range(1, length(t) + 1)) as i from c)
+select doc_id, cast(i - 1 as int) as chunk, cast(coalesce(sum(length(text)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as int) as "offset", text from e""")
 def fixed_chunks(spark, sf_dir):
     return tx.explode_chunks(read(spark, sf_dir, "documents"), tx.fixed_chunks(F.col("text"), 400))
 
