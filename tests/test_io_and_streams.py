@@ -88,3 +88,14 @@ def test_adaptive_thresholds(spark, tmp_path):
     q.awaitTermination()
     got = {r.method: r for r in spark.table("thresholds").collect()}
     assert (round(got["a"].threshold, 2), got["a"].false_positives, got["a"].total) == (0.8, 3, 6) and got["b"].threshold == 0.5
+
+
+def test_metrics_are_named_by_their_time(spark, tmp_path):
+    from datetime import datetime
+
+    from veilspark.sources import io
+
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    path = io.write_metrics(spark.sql("select 'a' as type, 1 as n"), str(tmp_path), "report", at)
+    assert path.endswith("/report_20240506_070809.csv")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("a", "1")]

@@ -93,6 +93,10 @@ def test_span_cleaners(spark):
     assert [s.text for s in spans_of(spark, "the 12 Boston", (0, 3, "X", 1.0, "m"), (4, 6, "X", 1.0, "m"), (7, 13, "X", 1.0, "m")).select(resolve.post_filter(F.col("s"), F.lit("en")).alias("s")).first().s] == ["Boston"]
     fixed = spans_of(spark, "tok_1\nrest 9 lives", (0, 10, "X", 1.0, "m"), (11, 18, "ORGANIZATION", 1.0, "m")).select(resolve.rewrite_types(F.col("s")).alias("s")).first().s
     assert [(s.type, s.text, s.end) for s in fixed] == [("PAYMENT_TOKEN", "tok_1", 5)]
+    lines = spans_of(spark, "Email\nAnn Lee\nx", (0, 15, "PERSON", 1.0, "m"), (6, 13, "X", 1.0, "m")).select(resolve.rewrite_types(F.col("s")).alias("s")).first().s
+    assert [(s.type, s.text, s.start, s.end) for s in lines] == [("PERSON", "Ann Lee", 0, 7)]
+    both = spans_of(spark, "ab cd ab ef", (0, 2, "X", 1.0, "m")).withColumnRenamed("s", "a").crossJoin(spans_of(spark, "ab cd ab cd", (0, 2, "X", 1.0, "n"), (3, 5, "X", 1.0, "n"), (9, 11, "X", 1.0, "n")).select("s"))
+    assert [(s.text, s.start, s.method) for s in both.select(resolve.add_unseen(F.col("a"), F.col("s")).alias("s")).first().s] == [("ab", 0, "m"), ("cd", 3, "n")]
 
 
 def test_set_forms(spark):

@@ -59,6 +59,28 @@ def batch_summary(results: DataFrame, seconds: str = "seconds") -> DataFrame:
     )
 
 
+def errors(results: DataFrame, key: str = "doc_id", error: str = "error") -> DataFrame:
+    """The failed texts with what went wrong. Texts without an error have no row."""
+    return results.where(F.col(error).isNotNull()).select(key, error)
+
+
+def call_statistics(calls: DataFrame) -> DataFrame:
+    """One row for each service and one, with a null service, for all: calls, successes, failures, tokens, retries, cache hits and seconds.
+
+    calls: a row for each call: service, success, tokens, retries, cached, seconds; nulls count as nothing.
+    """
+    total = lambda c, zero: F.coalesce(F.sum(c), F.lit(zero)).alias(c)
+    return calls.rollup("service").agg(
+        F.count("*").alias("calls"),
+        F.count_if("success").alias("successful_calls"),
+        F.count_if(~F.coalesce("success", F.lit(False))).alias("failed_calls"),
+        total("tokens", 0),
+        total("retries", 0),
+        F.count_if("cached").alias("cache_hits"),
+        total("seconds", 0.0),
+    )
+
+
 def severity(kind: Column) -> Column:
     """0 to 3; unknown types are MEDIUM."""
     out = F.lit(1)
@@ -106,6 +128,14 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
+def not_under(path: Column, prefixes: tuple[str, ...] = ("/static/", "/admin/", "/media/")) -> Column:
+    """Whether a request's path begins with none of the prefixes; null paths do not."""
+    out = F.lit(True)
+    for p in prefixes:
+        out = out & ~F.coalesce(path.startswith(p), F.lit(False))
+    return out
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """For each column: its type, nulls and distinct values (about)."""
     one = df.agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"nulls_{k}") for k, c in enumerate(df.columns)), *(F.approx_count_distinct(c).alias(f"distinct_{k}") for k, c in enumerate(df.columns)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import mask, score, validate
 from ..functions import text as tx
 from ..operators import evaluate, report, resolve
+from ..operators.scan import span
 from . import twins
 from .queries import cases, cases_sql, hits, luhn_sql, only, query, read
 
@@ -174,3 +175,44 @@ select position, s_suppkey, n_nationkey from s join n using (position)""")
 def zipped_tables(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_nationkey", (-F.col("n_nationkey")).alias("k"))
     return evaluate.zipped(read(spark, sf_dir, "supplier").select("s_suppkey"), n, "s_suppkey", "k").select("position", "s_suppkey", "n_nationkey")
+
+
+CALLS_SQL = "select case when event_type in ('click', 'view') then 'a' else 'b' end as service, user_id % 5 <> 0 as success, event_id % 7 as tokens, event_id % 3 as retries, event_id % 2 = 0 as cached, cast(0.25 as double) as seconds from events"
+
+
+@query(f"""
+select service, count(*) as calls, count(*) filter (success) as successful_calls, count(*) filter (not success) as failed_calls, cast(sum(tokens) as bigint) as tokens, cast(sum(retries) as bigint) as retries, count(*) filter (cached) as cache_hits, sum(seconds) as seconds
+from ({CALLS_SQL}) group by rollup (service)""")
+def call_statistics(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    service = F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b")
+    calls = e.select(service.alias("service"), (F.col("user_id") % 5 != 0).alias("success"), (F.col("event_id") % 7).alias("tokens"), (F.col("event_id") % 3).alias("retries"), (F.col("event_id") % 2 == 0).alias("cached"), F.lit(0.25).alias("seconds"))
+    return report.call_statistics(calls)
+
+
+PATHS = ("/static/a.css", "/admin/", "/administer", "/media/x/y", "/chat", "", "/x/static/")
+
+
+@query(f"select x, not regexp_matches(x, '^/(static|admin|media)/') as kept from {cases_sql(*PATHS)}")
+def paths_kept(spark, sf_dir):
+    return cases(spark, *PATHS).select("x", report.not_under(F.col("x")).alias("kept"))
+
+
+@query("select doc_id, 'unsupported language ' || lang as error from documents where trim(text) <> '' and lang not in ('en', 'fr', 'ar')")
+def request_error_list(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("trim(text) <> ''")
+    return report.errors(docs.withColumn("error", validate.request_error(F.col("text"), F.col("lang"))))
+
+
+REWRITTEN = ("AU_ACN|+33 612345678", "AU_ACN|12 ab", "ORGANIZATION|12 Main Street", "ORGANIZATION|12 Co", "ORGANIZATION|Big Co", "PERSON|Visa", "PERSON|مدينة الرياض", "X|acct_12", "X|prv_1", "PERSON|BNP", "PERSON|BNP x", "AU_ACN|tok_1")
+
+
+@query(f"""
+with k as (select x, split_part(x, '|', 1) as k, split_part(x, '|', 2) as v from {cases_sql(*REWRITTEN)}),
+c as (select *, case when k = 'AU_ACN' and regexp_full_match(v, '\+?[0-9]{{1,4}}[-\s]?[0-9]{{6,}}') then 'PHONE_NUMBER' when k = 'ORGANIZATION' and contains(lower(v), 'street') then 'LOCATION' when k = 'PERSON' and contains(v, 'مدينة') then 'LOCATION'
+  when k <> 'ORGANIZATION' and regexp_matches(v, '^(tok|pi|ch|pm|cus|sub|in|si|seti|src|prv|acct)_') then 'PAYMENT_TOKEN' when k = 'PERSON' and lower(v) in ('visa', 'bnp') then 'ORGANIZATION' end as changed from k)
+select x, coalesce(changed, k) as type, cast(case when changed is null then 0.5 when changed = 'LOCATION' then 0.9 when changed = 'PAYMENT_TOKEN' then 0.99 else 0.95 end as double) as score from c where not (coalesce(changed, k) = 'ORGANIZATION' and regexp_matches(v, '^[0-9]'))""")
+def rewritten_types(spark, sf_dir):
+    kind, value = F.split("x", r"\|")[0], F.split("x", r"\|")[1]
+    found = F.array(span(F.lit(0), F.length(value), kind, value, F.lit(0.5), F.lit("ner"), F.lit(0)))
+    return cases(spark, *REWRITTEN).select("x", F.explode(resolve.rewrite_types(found)).alias("s")).select("x", "s.type", "s.score")

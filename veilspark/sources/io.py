@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +106,13 @@ def audit_rows(results: DataFrame, *, user: Column, at: Column, text: str = "tex
     return rows.select("user_id", at.alias("ts"), F.sha2(F.col(text), 256).alias("text_sha256"), F.size("entities").alias("n_entities"), kinds.alias("entity_types"))
 
 
+def write_metrics(metrics: DataFrame, folder: str, name: str = "metrics", at: datetime | None = None) -> str:
+    """A CSV report with a header, named by its time (UTC, to the second) so that none replaces an earlier one; gives its path."""
+    path = f"{folder.rstrip('/')}/{name}_{(at or datetime.now(UTC)).strftime('%Y%m%d_%H%M%S')}.csv"
+    metrics.write.mode("error").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
 def append(df: DataFrame, path: str, *partitions: str) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
