@@ -49,5 +49,38 @@ select d.doc_id, count(item_id) > 0 as contaminated, count(item_id) as n_items,
 from documents d left join hit using (doc_id) group by d.doc_id"""
 
 
+
+#: crc32 byte by byte with the usual table; near words share their first or last half; forms are followed by recursion.
+VARIANTS = r"""
+with recursive bits as (select range as i, range as c, 0 as k from range(256)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+run as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents),
+one as (select d, w, count(*) as n from run where length(w) >= 7 group by d, w),
+hashed as (select w, n, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(d || ':' || w)), '..'), lambda x: cast('0x' || x as bigint))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h from one, crc),
+words as (select case when h % 31 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, cast(sum(n) as bigint) as n from hashed group by 1 having sum(n) >= 2 and length(word) >= 7),
+side as (select word, n, r, unnest([concat(r, '>', left(word, r // 2)), concat(r, '<', right(word, r - r // 2))]) as key from (select word, n, unnest([length(word), length(word) - 1]) as r from words)),
+pair as (select distinct x.word, x.n, y.word as near, y.n as near_n from side x join side y on x.key = y.key and x.word <> y.word
+  where case when length(x.word) = length(y.word) then len(list_filter(range(1, length(x.word) + 1), lambda i: substr(x.word, i, 1) <> substr(y.word, i, 1))) = 1
+    when length(x.word) > length(y.word) then len(list_filter(range(0, length(x.word)), lambda i: left(x.word, i) || substr(x.word, i + 2) = y.word)) > 0
+    else len(list_filter(range(0, length(y.word)), lambda i: left(y.word, i) || substr(y.word, i + 2) = x.word)) > 0 end),
+best as (select word, count(*) as n_near, min({'less': -near_n, 'near': near}) as b from pair group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b.less >= 10 * w.n then b.near end as form, case when -b.less >= 10 * w.n then -b.less end as form_n from words w left join best using (word)),
+chain as (select word, coalesce(form, word) as root from formed union all select c.word, f.form from chain c join formed f on c.root = f.word and f.form is not null where c.root <> c.word),
+ends as (select c.word, c.root from chain c join formed f on c.root = f.word where f.form is null)
+select word, form, root, n, n_near, form_n from formed join ends using (word)"""
+
+FILL = """
+with h as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+g as (select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || s[1:8] as bigint) as h1, cast('0x' || s[9:16] as bigint) as h2, cast('0x' || s[17:24] as bigint) as h3, cast('0x' || s[25:32] as bigint) as h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from g),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES, "op7_warc": WARC, "op9_decontamination": LEAKS}
+    return {"op3_line_dedup": LINES, "op7_warc": WARC, "op9_decontamination": LEAKS, "op11_spelling_variants": VARIANTS, "op12_fill_in_middle": FILL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lang_crf, lattice_lm, line_dedup, quality_classifier, quality_rules, simhash, warc
+from . import bpe, decontaminate, fill_in_middle, lang_crf, lattice_lm, line_dedup, quality_classifier, quality_rules, simhash, spelling_variants, toxicity, warc
 from .common import fold, read
 from .oracles import oracle_sql  # noqa: F401
 
@@ -79,6 +79,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, forest).select(*columns)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(read(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), "output")
+    back = fill_in_middle.restore(cut)
+    return back.withColumn("restored_sha256", F.sha2("restored", 256)).drop("restored")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 0), weights)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_lm_scoring, op2_token_counts, op3_line_dedup, op4_simhash, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op9_decontamination, op10_quality_rules)
+    listed = (op1_lm_scoring, op2_token_counts, op3_line_dedup, op4_simhash, op5_bpe_round_trip, op6_quality_classifier, op7_warc, op8_language_id, op9_decontamination, op10_quality_rules, op11_spelling_variants, op12_fill_in_middle, op13_toxicity)
     return {f.__name__: f for f in listed}
