@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 from .scan import SPANS, empty
 
 #: Types whose neighbours may be parts of one entity, and how far apart they may be.
@@ -266,8 +267,6 @@ def best_in_island(entities: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, key: str = "doc_id", least_iou: float = 0.0) -> DataFrame:
-    """Pairs of spans of one document that overlap, with their IoU. The document's key makes it an equi-join."""
-    x, y = a.select(key, *(F.col(c).alias(f"a_{c}") for c in a.columns if c != key)), b.select(key, *(F.col(c).alias(f"b_{c}") for c in b.columns if c != key))
-    both = x.join(y, key).where("a_start < b_end and b_start < a_end")
-    inter = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    return both.withColumn("iou", inter / (F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start") - inter)).where(F.col("iou") >= least_iou)
+    """Pairs of spans of one document that overlap, with their IoU; joined by bins of positions."""
+    both = intervals.overlapping(a, b, key)
+    return both.withColumn("iou", intervals.iou(*(F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")))).where(F.col("iou") >= least_iou)

@@ -207,7 +207,7 @@ def request_error_list(spark, sf_dir):
 REWRITTEN = ("AU_ACN|+33 612345678", "AU_ACN|12 ab", "ORGANIZATION|12 Main Street", "ORGANIZATION|12 Co", "ORGANIZATION|Big Co", "PERSON|Visa", "PERSON|مدينة الرياض", "X|acct_12", "X|prv_1", "PERSON|BNP", "PERSON|BNP x", "AU_ACN|tok_1")
 
 
-@query(f"""
+@query(rf"""
 with k as (select x, split_part(x, '|', 1) as k, split_part(x, '|', 2) as v from {cases_sql(*REWRITTEN)}),
 c as (select *, case when k = 'AU_ACN' and regexp_full_match(v, '\+?[0-9]{{1,4}}[-\s]?[0-9]{{6,}}') then 'PHONE_NUMBER' when k = 'ORGANIZATION' and contains(lower(v), 'street') then 'LOCATION' when k = 'PERSON' and contains(v, 'مدينة') then 'LOCATION'
   when k <> 'ORGANIZATION' and regexp_matches(v, '^(tok|pi|ch|pm|cus|sub|in|si|seti|src|prv|acct)_') then 'PAYMENT_TOKEN' when k = 'PERSON' and lower(v) in ('visa', 'bnp') then 'ORGANIZATION' end as changed from k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mask, score
+from ..functions import jsontext, mask, positions, score
 from ..functions import text as tx
 from ..functions.rules import Profile, profile
 from ..operators.resolve import resolve, with_text
@@ -84,6 +84,23 @@ def entities(df: DataFrame, name: str | Profile = "light", *, key: str = "doc_id
     return rows.select(key, F.col("n").alias("ord"), "e.type", "e.text", "e.start", "e.end", "e.score", "e.method", "lang")
 
 
+def detect_cleaned(df: DataFrame, steps: tuple[tuple[str, str], ...], name: str | Profile = "light", *, text: str = "text", lang: str = "lang", backend: str = "auto") -> DataFrame:
+    """As `detect`, but the texts are scanned after clean-up steps; offsets and text of the entities are the original's."""
+    body, language = F.col(text), F.col(lang) if lang in df.columns else tx.guess_language(F.col(text))
+    clean = df.withColumn("__clean", positions.cleaned(body, steps)).withColumn("__lang", language).withColumn("__text", F.col("__clean.text"))
+    found = detect(clean, name, text="__text", lang="__lang", backend=backend)
+    return found.withColumn("entities", positions.spans_back(F.col("entities"), F.col("__clean.maps"), body)).drop("__clean", "__lang", "__text")
+
+
+def entities_by_chunk(df: DataFrame, name: str | Profile = "chunked", *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 4_000, backend: str = "auto") -> DataFrame:
+    """A row for each entity of each chunk, as `entities`, with the chunk's number; offsets are those of the whole text."""
+    language = F.col(lang) if lang in df.columns else tx.guess_language(F.col(text))
+    chunks = df.select(key, language.alias("lang"), F.posexplode(tx.fixed_chunks(F.col(text), size)).alias("chunk", "part"))
+    found = detect(chunks.select(key, "lang", "chunk", F.col("part.offset").alias("offset"), F.col("part.text").alias("text")), name, backend=backend)
+    rows = found.select(key, "lang", "chunk", "offset", F.posexplode("entities").alias("ord", "e"))
+    return rows.select(key, "chunk", "ord", "e.type", "e.text", (F.col("offset") + F.col("e.start")).alias("start"), (F.col("offset") + F.col("e.end")).alias("end"), "e.score", "e.method", "lang")
+
+
 def deduplicated(df: DataFrame, name: str | Profile = "light", *, text: str = "text", lang: str = "lang", masks: str | None = None) -> DataFrame:
     """As `analyze`, each distinct (text, language) analysed once and joined back: for tables of many copies."""
     keys = df.withColumn("text_sha256", F.sha2(F.col(text), 256))
@@ -106,6 +123,17 @@ def redact_columns(df: DataFrame, name: str | Profile = "light", *, lang: str =
     return df.select(*(mask.on_strings(F.col(f.name), f.dataType, use).alias(f.name) for f in df.schema.fields))
 
 
+def redact_json(df: DataFrame, column: str, name: str | Profile = "light", *, lang: str = "en", masks: str | None = None) -> DataFrame:
+    """`df` with every string leaf of the JSON texts in `column`, whatever their shape, masked; what is no JSON is masked as a text."""
+    rules = name if isinstance(name, Profile) else profile(name)
+
+    def use(x: Column) -> Column:
+        found = resolve(score.above(scan(x, F.lit(lang), rules, "native"), rules.thresholds), rules.policy)
+        return tx.bind(F.struct(x.alias("x"), found.alias("e")), lambda b: redacted(b["x"], b["e"], masks or rules.mask))
+
+    return df.withColumn(column, jsontext.redacted(F.col(column), use))
+
+
 def chat_reply(df: DataFrame, name: str | Profile = "modular", *, query: str = "query", answer: str = "answer") -> DataFrame:
     """Query and answer analysed apart: entities of both, and each masked by its own."""
     out = df

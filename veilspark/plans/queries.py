@@ -40,9 +40,9 @@ def only(name: str, *kinds: str, policy: str = "all") -> Profile:
     return Profile(f"{name}/{'+'.join(kinds)}", tuple(r for r in p.rules if r.type in kinds), policy, p.mask)
 
 
-def hits(spark: SparkSession, sf_dir: str, profile: Profile, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, profile: Profile, table: str = "documents", key: str = "doc_id", text: str = "text", backend: str = "auto") -> DataFrame:
     rows = read(spark, sf_dir, table)
-    return pipeline.entities(rows.select(key, text, (F.col("lang") if "lang" in rows.columns else F.lit("en")).alias("lang")), profile, key=key, text=text)
+    return pipeline.entities(rows.select(key, text, (F.col("lang") if "lang" in rows.columns else F.lit("en")).alias("lang")), profile, key=key, text=text, backend=backend)
 
 
 # ---- SQL building blocks -------------------------------------------------------------------------
