@@ -3,12 +3,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions import jsontext, positions
+from veilspark.functions import jsontext, positions, score
 from veilspark.functions.rules import PROFILES, Profile, Rule
-from veilspark.operators import intervals, merge, resolve
+from veilspark.operators import intervals, merge, pivots, resolve
 from veilspark.plans import pipeline
 
 
@@ -184,3 +185,48 @@ def test_json_of_any_shape(spark):
     assert got[9].endswith('y\\n[EMAIL]"}') and len(got[9]) == len(shapes[9]) - len(mail) + 7
     leaves = sorted((r.k, r.path, r.value) for r in jsontext.strings(df.where("k < 9"), "k", "j").collect())
     assert leaves == [(0, "$.a[3]." + mail, "xé\n" + mail), (0, "$.b", "to " + mail), (1, "$[0]", mail), (1, "$[1][0][0]", mail), (1, "$[2]", f'"quoted" {mail}'), (2, "$", mail)]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_pivots_are_exact(spark, clustered, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6)) * (20 if clustered else 0)
+    x = (centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6))).astype(np.float32)
+    x[40:60] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    odd = spark.createDataFrame([(2000, None), (None, [0.0] * 6), (2001, [1.0])], "vec_id long, embedding array<float>")
+    chosen = pivots.build(df.unionByName(odd), str(tmp_path), pivots=8, size=32)
+    index, again = pivots.load(spark, str(tmp_path))
+    assert np.array_equal(chosen, again) and index.agg(F.sum("n")).first()[0] == 900
+    got = {}
+    for r in pivots.search(df.where("vec_id % 9 = 0").unionByName(odd), index, again, 4, size=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.distance, r.computed))
+    assert set(got) == set(range(0, 900, 9))
+    y = x.astype(float)
+    for q, rows in got.items():
+        d = ((y - y[q]) ** 2).sum(1)
+        assert [r[1] for r in sorted(rows)] == sorted(range(900), key=lambda i: (d[i], i))[:4]
+    share = np.mean([rows[0][3] for rows in got.values()]) / 900
+    assert share < 0.4 if clustered else share <= 1
+
+
+def test_pivots_of_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [5.0, 1.0])], "vec_id long, embedding array<float>")
+    chosen = pivots.choose(df, "vec_id", "embedding")
+    index = pivots.written(pivots.blocks(df, chosen, "vec_id", "embedding", 2))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in pivots.search(df, index, chosen, 5).collect())
+    assert got == [(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 3, 25), (2, 1, 1, 0), (2, 2, 2, 0), (2, 3, 3, 25), (3, 1, 3, 0), (3, 2, 1, 25), (3, 3, 2, 25)]
+    none = pivots.choose(df.limit(0), "vec_id", "embedding")
+    assert pivots.search(df, pivots.blocks(df.limit(0), none, "vec_id", "embedding", 2), none).count() == 0
+    assert pivots.search(df.limit(0), index, chosen).count() == 0
+
+
+def test_agreement_meets_by_place_and_text(spark):
+    rows, df = spans_table(spark, 9, docs=6)
+    df = df.withColumn("method", F.when(F.col("method") == "a", "huggingface").when(F.col("method") == "b", "presidio").otherwise("spacy"))
+    got = {(r.doc_id, r.start, r.end, r.type, r.method): round(r.agreement, 6) for r in score.agreement(df).collect()}
+    weight = {"a": ("huggingface", 0.9), "b": ("presidio", 0.8), "c": ("spacy", 0.7)}
+    for d, a, z, t, x, _, m in rows:
+        met = {r[6] for r in rows if r[0] == d and (r[4] == x or (a <= r[2] and r[1] <= z))}
+        assert got[d, a, z, t, weight[m][0]] == round(sum(weight[o][1] for o in met) / len(met), 6)
+    assert df.count() == score.agreement(df).count()

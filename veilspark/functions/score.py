@@ -166,13 +166,21 @@ def number_context(context: Column) -> Column:
 
 
 def agreement(entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`entities` with the mean weight of the distinct methods whose spans overlap each, or have its text."""
+    """`entities` with the mean weight of the distinct methods whose spans overlap or touch each, or have its text.
+
+    Spans meet by bins of positions and by text, methods are made distinct on the way: no document's spans are paired off.
+    """
+    from ..operators.intervals import overlapping
+
     weight = F.create_map(*(F.lit(v) for kv in METHOD_WEIGHTS.items() for v in kv))
-    a = entities.withColumn("__row", F.xxhash64(key, "start", "end", "type", "method")).alias("a")
-    b = entities.select(key, F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("text").alias("o_text"), F.col("method").alias("o_method"))
-    met = a.join(b, key).where("text = o_text or (start <= o_end and o_start <= end)").select(key, "__row", "o_method").distinct()
+    rows = entities.withColumn("__row", F.xxhash64(key, "start", "end", "type", "method"))
+    # spans that touch have a common position once their ends count
+    wide = rows.select(key, "start", (F.col("end") + 1).alias("end"), "method", "__row").distinct()
+    by_place = overlapping(wide, wide.select(key, "start", "end", "method").distinct(), key).select(key, F.col("a___row").alias("__row"), F.col("b_method").alias("o_method"))
+    by_text = rows.select(key, "text", "__row").distinct().join(rows.select(key, "text", F.col("method").alias("o_method")).distinct(), [key, "text"]).select(key, "__row", "o_method")
+    met = by_place.unionByName(by_text).distinct()
     mean = met.groupBy(key, "__row").agg(F.avg(F.coalesce(F.try_element_at(weight, F.col("o_method")), F.lit(0.7))).alias("agreement"))
-    return a.join(mean, [key, "__row"]).drop("__row")
+    return rows.join(mean, [key, "__row"]).drop("__row")
 
 
 def adapted_threshold(threshold: Column, false_positives: Column, total: Column, rate: float = 0.05, cap: float = 0.95) -> Column:

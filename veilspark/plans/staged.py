@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext, positions
 from ..functions.rules import Profile, Rule
-from ..operators import intervals, merge, resolve
+from ..operators import intervals, merge, pivots, resolve
 from . import pipeline, twins
-from .queries import EMAIL_CASED_SQL, IP_LIGHT_SQL, hits, only, query, read
+from .queries import EMAIL_CASED_SQL, IP_LIGHT_SQL, KNN_SQL, hits, only, query, read
 
 # ---- positions -----------------------------------------------------------------------------------
 
@@ -126,6 +126,30 @@ def overlap_kind_counts(spark, sf_dir):
     return intervals.pair_counts(found.where("type = 'PERSON'"), found.where("type = 'ORGANIZATION'"), kind)
 
 
+# ---- neighbours ----------------------------------------------------------------------------------
+
+
+def _by_pivots(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    chosen = pivots.choose(e, "vec_id", "embedding")
+    index = pivots.written(pivots.blocks(e, chosen, "vec_id", "embedding", pivots.BLOCK))
+    return e, pivots.search(e.where("vec_id % 20 = 0"), index, chosen)
+
+
+@query(KNN_SQL.format(distance="list_sum(list_transform(list_zip(cast(v as double[]), cast(embedding as double[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"))
+def knn_pivots(spark, sf_dir):
+    """The nearest vectors of every twentieth one, by pivots."""
+    return _by_pivots(spark, sf_dir)[1].select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def knn_pivot_share(spark, sf_dir):
+    """How many distances the search by pivots computed, and what share of all."""
+    e, found = _by_pivots(spark, sf_dir)
+    taken = found.where("rank = 1").agg(F.count("*").alias("queries"), F.sum("computed").alias("computed"))
+    return taken.crossJoin(F.broadcast(e.agg(F.count("*").alias("vectors")))).withColumn("share", F.round(F.col("computed") / (F.col("queries") * F.col("vectors")), 4))
+
+
 # ---- JSON ----------------------------------------------------------------------------------------
 
 
