@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, mask, positions, score
+from ..functions import bidi, jsontext, mask, positions, score
 from ..functions import text as tx
 from ..functions.rules import Profile, profile
-from ..operators.resolve import resolve, with_text
+from ..operators.resolve import add_unseen, resolve, with_text
 from ..operators.scan import scan
 
 
@@ -92,6 +92,24 @@ def detect_cleaned(df: DataFrame, steps: tuple[tuple[str, str], ...], name: str
     return found.withColumn("entities", positions.spans_back(F.col("entities"), F.col("__clean.maps"), body)).drop("__clean", "__lang", "__text")
 
 
+def detect_displayed(df: DataFrame, name: str | Profile = "light", *, text: str = "text", lang: str = "lang", policy: str | None = None, backend: str = "auto") -> DataFrame:
+    """As `detect`, with a second scan of the display form of texts with right-to-left characters.
+
+    What the second scan finds goes back to the source's offsets; where the first has no entity of its text it is added, and
+    the policy decides among those that overlap. Texts without such characters have the result of `detect`.
+    """
+    rules = name if isinstance(name, Profile) else profile(name)
+    body, language = F.col(text), F.col(lang) if lang in df.columns else tx.guess_language(F.col(text))
+    out = df.withColumn("__shown", bidi.displayed(body)).withColumn("__first", spans(body, language, rules, backend))
+    out = out.withColumn("__second", spans(F.col("__shown.text"), language, rules, backend))
+    back = F.when(F.col("__shown").isNotNull(), bidi.spans_back(F.col("__second"), F.col("__shown"), body))
+    both = F.coalesce(F.array_sort(add_unseen(F.col("__first"), back)), F.col("__first"))
+    kept = resolve(score.above(both, rules.thresholds), policy or rules.policy)
+    if (policy or rules.policy) == "interval_union":
+        kept = with_text(kept, body)
+    return out.withColumn("entities", kept).drop("__shown", "__first", "__second")
+
+
 def entities_by_chunk(df: DataFrame, name: str | Profile = "chunked", *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 4_000, backend: str = "auto") -> DataFrame:
     """A row for each entity of each chunk, as `entities`, with the chunk's number; offsets are those of the whole text."""
     language = F.col(lang) if lang in df.columns else tx.guess_language(F.col(text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, positions
+from ..functions import bidi, jsontext, positions
 from ..functions.rules import Profile, Rule
 from ..operators import intervals, merge, pivots, resolve
 from . import pipeline, twins
@@ -52,6 +52,41 @@ def spans_through_chunks(spark, sf_dir):
     return pipeline.entities_by_chunk(read(spark, sf_dir, "documents"), FINDS, size=400).select("doc_id", "chunk", "type", "start", "end", "text")
 
 
+# ---- display forms -------------------------------------------------------------------------------
+
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+BRACKETS = "()[]{}<>«»"
+
+
+def _arabic(spark, sf_dir):
+    """The documents with Arabic letters for a to z, so that their lines run both ways."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.translate("text", LATIN, ARABIC).alias("text"), F.lit("ar").alias("lang"))
+
+
+@query(f"""
+with t as (select doc_id, translate(text, '{LATIN}', '{ARABIC}') as t from documents)
+select doc_id, sha256(translate(t, '{BRACKETS}', '')) as restored, length(t) as n, length(t) - length(regexp_replace(t, 'ل[اأإآ]', 'x', 'g')) as joined from t""")
+def display_forms_undone(spark, sf_dir):
+    """Display forms put back in the source's order and bare letters; brackets apart, which are mirrored."""
+    letters, ligatures = bidi.shapes()
+    forms = {shape: base for base, by in letters.items() for shape in by.values()}
+    shown = _arabic(spark, sf_dir).withColumn("shown", bidi.displayed(F.col("text")))
+    text, first = F.coalesce("shown.text", "text"), F.coalesce("shown.first", F.sequence(F.lit(0), F.length("text") - 1))
+    ordered = F.array_join(F.transform(F.array_sort(F.arrays_zip(first.alias("a"), F.split(text, "").alias("c"))), lambda x: x["c"]), "")
+    bare = F.translate(F.translate(ordered, "".join(forms), "".join(forms.values())), BRACKETS, "")
+    for alef, by in ligatures.items():
+        bare = F.regexp_replace(bare, f"[{''.join(by.values())}]", bidi.LAM + alef)
+    joined = F.length("text") - F.length(text)
+    return shown.select("doc_id", F.sha2(bare, 256).alias("restored"), F.length("text").cast("long").alias("n"), joined.cast("long").alias("joined"))
+
+
+@query()
+def display_pass_entities(spark, sf_dir):
+    """What the two scans of texts that run both ways find together, in offsets of the source."""
+    found = pipeline.detect_displayed(_arabic(spark, sf_dir), only("light", "EMAIL", "IP_ADDRESS", "DATE", "CREDIT_CARD", policy="greedy_first"))
+    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
+
+
 # ---- overlap groups ------------------------------------------------------------------------------
 
 #: Overlapping rules of several methods and scores.
