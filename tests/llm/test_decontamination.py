@@ -148,3 +148,39 @@ def test_pipeline_odd_rows(spark):
         assert empty.collect() == []
         docs = common.materialize(stage(spark, docs, SF), name)
     assert docs.count() >= 1
+
+
+def test_rare_words_lose_nothing(spark):
+    """One item among 3,000 alike ones; the text differs in the one word that is rare."""
+    frame = "in the year of the great flood a merchant from {0} carried twenty sacks of grain across the river to the market at {1} and sold them all to the last of his old friends. The price was nine coins"
+    items = [(k, frame.format(f"town{k}", "hill")) for k in range(3000)]
+    items.append((5000, frame.format("venice", "genoa")))
+    text = "x y z " * 50 + frame.format("venice", "padua") + " q r" * 60
+    assert brute([(1, text)], items[-1:])[1] == [5000]
+    docs = spark.createDataFrame([(1, text), (2, "in the year of the great flood " * 20)], "doc_id long, text string")
+    for size in (decontaminate.SHARD, 700):
+        got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.mark(docs, spark.createDataFrame(items, "item_id long, text string"), size=size).collect()}
+        assert 5000 in got[1] and got[2] == []
+        assert got[1] == brute([(1, text)], items)[1]
+
+
+def test_no_accepted_copy_is_lost(spark):
+    """Items with words left out and put in, at random, against brute force; for all sizes of shard."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)] + [f"rare{k}" for k in range(300)]
+    weights = [30] * 30 + [1] * 300
+    items = [(k, " ".join(rng.choices(words, weights, k=rng.randrange(4, 60))) + "? " + " ".join(rng.choices(words, weights, k=rng.randrange(1, 12)))) for k in range(80)]
+    texts = []
+    for k in range(400):
+        ws = decontaminate.words(items[k % 80][1])
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(ws))
+            ws[at : at + 1] = rng.choice([[], ["new"], [ws[at], "put", "in"]])
+            ws = ws or ["none"]
+        texts.append((k, " ".join([*rng.choices(words, weights, k=rng.randrange(0, 150)), *ws, *rng.choices(words, weights, k=rng.randrange(0, 150))])))
+    want = brute(texts, items)
+    assert sum(map(bool, want.values())) > 100
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1000, 9):
+        got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.mark(spark.createDataFrame(texts, "doc_id long, text string"), bench, size=size).collect()}
+        assert got == want
