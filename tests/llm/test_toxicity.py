@@ -61,6 +61,16 @@ def test_learner_follows_the_formula():
     assert w.bias == pytest.approx(weigh()[2])
 
 
+def test_rare_features_change_nothing():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 60).astype(float)
+    common_ = [np.flatnonzero(rng.random(9) < 0.2 + 0.6 * t).astype(np.uint32) for t in y]
+    rare = [np.append(d, np.uint32(100 + k // 2)) for k, d in enumerate(common_)]
+    a, b = (toxicity.train_ftrl(d, y, l1=6.0, rounds=3) for d in (common_, rare))
+    assert len(a.numbers) and np.array_equal(a.numbers, b.numbers) and np.array_equal(a.values, b.values) and a.bias == b.bias
+    assert len(toxicity.train_ftrl([np.array([], np.uint32)], np.array([1.0])).numbers) == 0
+
+
 def test_new_forms_and_long_texts_are_caught(spark):
     calm = "the plain river runs past old stone walls in summer " * 3
     docs = [(k, calm + (f"blorg{chr(97 + k % 20)}x " if k % 2 else "") + f"end{k}") for k in range(400)]

@@ -88,9 +88,20 @@ class Weights:
 
 
 def train_ftrl(docs: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, rounds: int = ROUNDS) -> Weights:
-    """Weights after `rounds` passes; a text is its distinct features, each with value 1. The bias is not drawn to zero."""
-    numbers, where = np.unique(np.concatenate([np.empty(0, np.uint32), *docs]), return_inverse=True)
-    ends, bias = np.cumsum([0, *map(len, docs)]), len(numbers)
+    """Weights after `rounds` passes; a text is its distinct features, each with value 1. The bias is not drawn to zero.
+
+    A weight leaves zero once gradients, none of them over 1, add up to more than l1: features of fewer texts than that
+    takes in all passes stay at zero whatever happens, and are left out beforehand.
+    """
+    numbers, times = np.unique(np.concatenate([np.empty(0, np.uint32), *docs]), return_counts=True)
+    numbers = numbers[times * float(rounds) > l1]
+    del times
+    bias = len(numbers)
+    rows = []
+    for doc in docs:
+        at = np.searchsorted(numbers, doc)
+        at[at == bias] = 0
+        rows.append(np.append(at[numbers[at] == doc] if bias else at[:0], bias))
     bound = np.append(np.full(bias, l1), 0.0)
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
@@ -98,8 +109,7 @@ def train_ftrl(docs: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALP
         return np.where(np.abs(z[i]) <= bound[i], 0.0, (np.sign(z[i]) * bound[i] - z[i]) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(rounds):
-        for k, label in enumerate(labels):
-            i = np.append(where[ends[k] : ends[k + 1]], bias)
+        for i, label in zip(rows, labels, strict=True):
             w = weigh(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             rate = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
