@@ -31,7 +31,7 @@ def values(spark, f, *inputs):
         ("investment_id", ["INV-123456789", "FUND-ABCDEFGH"], ["INV-1"]),
         ("loan_number", ["LN-2023-12345", "LOAN-ABCDEFGH"], ["LN-1"]),
         ("invoice_number", ["FAC-2023-12345"], ["FAC-1"]),
-        ("name", ["Jean Dupont", "Ludwig van Beethoven"], ["jean", "Jean"]),
+        ("name", ["Jean", "J.", "van Berg"], ["jean", "Ludwig van Beethoven"]),
     ],
 )
 def test_validators(spark, name, good, bad):
@@ -40,10 +40,23 @@ def test_validators(spark, name, good, bad):
 
 
 def test_validator_cascades(spark):
-    assert values(spark, validate.financial_kind, "DE123456789", "123-45-6789", "FAC-2023-12345", "LN-2023-12345", "4111111111111111", "x") == ["VAT_NUMBER", "SSN", "INVOICE_NUMBER", "LOAN_NUMBER", "CREDIT_CARD", None]
-    near = lambda words: lambda x: validate.arabic_financial_kind(x, F.lit(words))
-    assert values(spark, near("الرقم الضريبي"), "123456789012345") == ["VAT_NUMBER"]
-    assert values(spark, near("بطاقة"), "4111111111111111", "5") == ["CREDIT_CARD", "FINANCIAL_INFO"]
+    plain = ["INV-2024-1234", "FINV-2023/12345", "LN-2023-12345", "MORT-20231234", "123-45-6789", "000-45-6789", "12-3456-7890-1234-5678-9012", "4111 1111 1111 1111", "378282246310005", "4222222222222", "DE123456789", "x", None]
+    assert values(spark, validate.financial_kind, *plain) == ["INVOICE_NUMBER", "INVOICE_NUMBER", "LOAN_NUMBER", "LOAN_NUMBER", "SSN", None, "BANK_ACCOUNT", "CREDIT_CARD", "CREDIT_CARD", None, None, None, None]
+    said = lambda words: lambda x: validate.financial_kind(x, F.lit(words))
+    assert values(spark, said("VAT no. of the firm"), "DE123456789", "DE1", "4111111111111111") == ["VAT_NUMBER", None, None]
+    assert values(spark, said("the account of"), "4111111111111111", "INV-2024-1234", "123-45-6789") == ["BANK_ACCOUNT", "BANK_ACCOUNT", "SSN"]
+    near = lambda words, name=None: lambda x: validate.arabic_financial_kind(x, F.lit(words), F.lit(name))
+    assert values(spark, near("الرقم الضريبي"), "123456789012345", "378282246310005") == ["VAT_NUMBER", "VAT_NUMBER"]
+    assert values(spark, near("tax"), "123456789012345", "378282246310005") == ["VAT_NUMBER", None]
+    assert values(spark, near("بطاقة"), "4111-1111-1111-1111", "378282246310005", "1234 5678 9012 3456") == ["CREDIT_CARD"] * 3
+    assert values(spark, near("my Card"), "4111111111111111") == ["CREDIT_CARD"] and values(spark, near("none"), "4111111111111111", "5") == [None, None]
+    named = ["Arabic Bank Account", "Arabic Currency Amount", "Arabic Payment Token", "Arabic Invoice Number"]
+    assert [values(spark, near("none", n), "100 ريال")[0] for n in named] == ["BANK_ACCOUNT", "CURRENCY_AMOUNT", "PAYMENT_TOKEN", None]
+    assert values(spark, validate.name_fragment, "John", "J.", "J", "van Berg", "Jean-Paul", "Élodie", "john", "J.R.", "McX", "") == [True] * 6 + [False] * 4
+    pair = lambda x: validate.name_combination(x, F.lit("Smith")) & ~validate.name_combination(x, F.lit("smith"))
+    assert values(spark, pair, "John", "J.", "the") == [True, True, False]
+    inside = lambda x: validate.well_formed(F.lit(0), x.cast("int"), F.lit(0.5), F.lit("abc"))
+    assert values(spark, inside, "3", "4", "-1", None) == [True, False, False, False]
     assert values(spark, lambda x: validate.common_word(x, F.lit("en")), "The", "an", "Boston", "they", "People") == [True, True, False, True, True]
     assert values(spark, lambda x: validate.common_word(x, F.lit("ar")), "شركة", "تطوير", "محمد") == [True, True, False]
     assert values(spark, lambda x: validate.request_error(x, F.lit("en")), "", None, "x") == ["text is empty", "text is empty", None]
@@ -95,10 +108,21 @@ def test_scores(spark):
     assert values(spark, lambda x: score.normal_value(F.lit("PHONE_NUMBER"), x), "212-555-0199", "+1 212 555 0199") == ["(212) 555-0199", "+1 212 555 0199"]
     assert values(spark, lambda x: score.normal_value(F.lit("CREDIT_CARD"), x), "4111 1111 1111 1111") == ["4111-1111-1111-1111"]
     assert values(spark, lambda x: score.veto_or_boost(F.lit(0.9), x, ("order",), ("tel",)), "order 1", "tel 1", "x") == [None, pytest.approx(0.95), 0.9]
-    assert values(spark, lambda x: score.arabic_score(F.lit("AR_NAME"), x, F.lit("قال"), F.lit(False)), "محمد أحمد") == [1.0]
-    assert values(spark, lambda x: score.arabic_context_score(F.lit(""), x), "أب", "محمد أحمد") == [pytest.approx(0.3), pytest.approx(0.6)]
-    assert values(spark, lambda x: score.french_score(F.lit("FR_PHONE"), F.split(x, "\\|"), F.lit(1)), "tel ici|appelez|rien", "a|b|c") == [pytest.approx(0.9), 0.7]
-    assert values(spark, lambda x: score.ner_score(F.lit("PERSON"), x, F.lit("dear mr")), "Smith") == [0.95]
+    arabic = lambda kind, near="", common=False: lambda x: F.round(score.arabic_score(F.lit(kind), x, F.lit(near), F.lit(common)), 6)
+    assert values(spark, arabic("AR_NAME", "قال"), "محمد أحمد", "محمد", "خالدة", "السيد خالد") == [1.0, 0.65, 0.95, 1.0]
+    assert values(spark, arabic("AR_ORGANIZATION", "بنك"), "بنك مصر", "ab") == [0.95, 0.95] and values(spark, arabic("AR_ORGANIZATION"), "بنك مصر") == [0.8]
+    assert values(spark, arabic("AR_PHONE_SA", "قال"), "05") == [0.9] and values(spark, arabic("AR_NAME", "", True), "خالدة") == [0.4] and values(spark, arabic("AR_ADDRESS", "عنوانه"), "x") == [0.75]
+    around = lambda kind, near="": lambda x: F.round(score.arabic_context_score(F.lit(kind), F.lit(near), x), 6)
+    assert values(spark, around("AR_NAME"), "محمد", "محمد أحمد", "خالدة") == [0.3, 0.6, 0.5] and values(spark, around("AR_NAME", "ترأس"), "خالدة") == [0.7]
+    assert values(spark, around("AR_ADDRESS", "يقع في"), "ab") == [0.7] and values(spark, around("AR_PHONE_SA", "قال"), "ab") == [0.5]
+    french = lambda kind, x="": lambda s: F.round(score.french_score(F.lit(kind), F.split(s, "\\|"), F.lit(1), F.lit(x)), 6)
+    assert values(spark, french("FR_PHONE"), "tel ici|appelez|rien", "a|b|c") == [0.9, 0.7]
+    assert values(spark, french("FR_PHONE", "+33 612345678"), "a|b|c") == [1.0] and values(spark, french("FR_EMAIL", "a.b@c.fr"), "x|y|z") == [1.0]
+    assert [values(spark, french("FR_NAME", n), "a|b|c")[0] for n in ("Jean Dupont", "Jean D", "jean dupont", "Jean DuPont", "Élodie")] == [0.9, 0.7, 0.7, 0.7, 0.9]
+    ner = lambda label, lang, before="", near="": lambda x: score.ner_score(F.lit(label), x, F.lit(before), F.lit(near), F.lit(lang))
+    assert values(spark, ner("PERSON", "en"), "John Smith", "John") == [0.95, 0.85] and values(spark, ner("ORG", "en"), "Big Co", "Co") == [0.9, 0.85]
+    assert values(spark, ner("PER", "fr", "Bonjour Mme. "), "Dupont") == [0.95] and values(spark, ner("PER", "fr"), "Jean Dupont") == [0.85]
+    assert values(spark, ner("LOC", "fr", "", "12 rue Victor"), "Victor") == [0.95] and values(spark, ner("LOC", "en", "", "12 rue Victor"), "Victor Hugo") == [0.85]
     assert values(spark, lambda x: score.normalized_score(F.lit("PERSON"), x, F.lit(0.8), F.lit(1), F.lit(False)), "John", "J") == [pytest.approx(0.8), pytest.approx(0.2)]
     assert values(spark, lambda x: score.normalized_score(F.lit("EMAIL"), x, F.lit(0.5), F.lit(2), F.lit(False), F.lit(True)), "a@mail.org") == [pytest.approx(0.72)]
     assert values(spark, lambda x: score.normalized_score(F.lit("TIME"), x, F.lit(0.8), F.lit(0), F.lit(False)), "many  days", "noon") == [None, pytest.approx(0.8)]

@@ -86,6 +86,10 @@ def test_span_cleaners(spark):
     assert [(s.text, s.score, s.method) for s in got] == [("Ann Lee,", 0.9, "a+b"), ("Paris", 0.5, "a")]
     trimmed = df.select(resolve.trim_bounds(F.col("s")).alias("s")).first().s
     assert [s.text for s in trimmed] == ["Ann", "Lee", "Paris"] and trimmed[1].end == 10
+    quoted = spans_of(spark, " «'Paris.»; (x)", (0, 12, "X", 1.0, "m"), (12, 15, "X", 1.0, "m"), (9, 11, "X", 1.0, "m")).select(resolve.trim_bounds(F.col("s")).alias("s")).first().s
+    assert sorted((s.text, s.start, s.end) for s in quoted) == [("Paris", 3, 8), ("x", 13, 14)]
+    low = spans_of(spark, "12 in the 123 people", (0, 2, "CARDINAL", 1.0, "m"), (0, 2, "PHONE_NUMBER", 1.0, "m"), (3, 9, "X", 1.0, "m"), (6, 9, "X", 1.0, "m"), (10, 13, "ID", 1.0, "m"), (10, 20, "CARDINAL", 1.0, "m"), (3, 9, "LOW", 0.1, "m"))
+    assert sorted((s.type, s.text) for s in low.select(resolve.post_filter(F.col("s"), F.lit("en"), 0.5).alias("s")).first().s) == [("CARDINAL", "123 people"), ("ID", "123"), ("X", "in the")]
     inside = spans_of(spark, "abcdef gh", (1, 3, "X", 1.0, "m"), (7, 9, "X", 1.0, "m"), (0, 6, "X", 1.0, "m"))
     assert [s.text for s in inside.select(resolve.whole_words(F.col("s"), F.col("t")).alias("s")).first().s] == ["gh", "abcdef"]
     many = spans_of(spark, "ab ab ab cd", (0, 2, "X", 0.5, "m"), (3, 5, "X", 0.9, "m"), (6, 8, "X", 0.9, "m"), (9, 11, "X", 0.5, "m"))

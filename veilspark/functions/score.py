@@ -10,7 +10,15 @@ from .validate import luhn
 # ---- fixed values ------------------------------------------------------------------------------
 
 ARABIC_BASE = {"AR_NAME": 0.8, "AR_EMAIL": 0.9, "AR_ORGANIZATION": 0.8, "AR_ADDRESS": 0.6, "AR_PHONE_SA": 0.9, "AR_PHONE_UAE": 0.9, "AR_PHONE_EG": 0.9}
-ARABIC_NEAR = ("يدعى", "اسمه", "اسمها", "السيد", "السيدة", "الدكتور", "الدكتورة", "المهندس", "المهندسة", "الأستاذ", "الأستاذة", "قال", "قالت", "صرح", "أكد")
+ARABIC_NEAR = {
+    "AR_NAME": (
+        "يدعى", "اسمه", "اسمها", "السيد", "السيدة", "الدكتور", "الدكتورة", "المهندس", "المهندسة", "الأستاذ", "الأستاذة", "قال", "قالت", "صرح", "أكد",
+        "ذكر", "أفاد", "أوضح", "أشار", "أعلن", "كتب", "نشر", "ألف", "ترأس", "يعمل",
+    ),
+    "AR_ORGANIZATION": ("شركة", "مؤسسة", "مجموعة", "بنك", "جامعة", "معهد", "وزارة", "هيئة", "دائرة", "مركز", "مستشفى", "مدرسة", "مقرها", "مكاتبها", "فرع", "مدير"),
+    "AR_ADDRESS": ("يقع في", "عنوانه", "عنوانها", "مقره", "مقرها", "يقيم في", "تقيم في", "العنوان", "الموقع", "المكان", "الشارع", "الحي", "المنطقة", "المدينة"),
+}
+ARABIC_PREFIXES = ("السيد", "الدكتور", "الشيخ", "المهندس", "الأستاذ", "السيدة", "الآنسة")
 FRENCH_NEAR = {
     "FR_NAME": ("nommé", "appelé", "s'appelle", "je suis", "c'est", "prénom", "nom", "monsieur", "madame", "mademoiselle"),
     "FR_ADDRESS": ("habite", "demeure", "adresse", "domicilié", "résidant", "situé", "localisé", "se trouve"),
@@ -19,8 +27,9 @@ FRENCH_NEAR = {
 }
 METHOD_WEIGHTS = {"huggingface": 0.9, "presidio": 0.8, "spacy": 0.7}
 TYPE_NAMES = {"PER": "PERSON", "ORG": "ORGANIZATION", "LOC": "LOCATION", "GPE": "LOCATION", "NORP": "ORGANIZATION", "FAC": "LOCATION", "NOM": "PERSON", "LIEU": "LOCATION", "ORGANISATION": "ORGANIZATION", "شخص": "PERSON", "مكان": "LOCATION", "منظمة": "ORGANIZATION", "DATE_TIME": "DATE", "EMAIL_ADDRESS": "EMAIL"}
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "monsieur", "madame", "mme", "السيد", "السيدة", "الدكتور")
-STREET_WORDS = ("street", "avenue", "road", "rue", "boulevard", "شارع", "طريق")
+FRENCH_TITLES = ("m.", "mme.", "dr.", "monsieur", "madame")
+FRENCH_STREETS = ("rue", "avenue", "boulevard", "place")
+FRENCH_SHAPES = {"FR_EMAIL": (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", 0.3), "FR_PHONE": (r"^\+33\s?[1-9](\s?\d{2}){4}$", 0.3), "FR_NAME": (r"(?U)^\s*(?:\p{Lu}[^\s\p{Lu}\p{Lt}]*\p{Ll}[^\s\p{Lu}\p{Lt}]*(?:\s+|$))*$", 0.2)}
 
 
 def around(text: Column, start: Column, end: Column, width: int) -> Column:
@@ -69,36 +78,54 @@ def veto_or_boost(score: Column, context: Column, vetoes: tuple[str, ...], boost
     return F.when(hits(context, vetoes) > 0, F.lit(None)).when(hits(context, boosts) > 0, F.least(score + gain, F.lit(1.0))).otherwise(score)
 
 
+def _by_kind(kind: Column, table: dict, value, default: Column) -> Column:
+    out = default
+    for name, v in table.items():
+        out = F.when(kind == name, value(v)).otherwise(out)
+    return out
+
+
+def word_count(x: Column) -> Column:
+    return F.regexp_count(x, F.lit(r"(?U)\S+"))
+
+
 def arabic_score(kind: Column, x: Column, context: Column, is_common: Column) -> Column:
-    base = F.lit(0.6)
-    for name, b in ARABIC_BASE.items():
-        base = F.when(kind == name, b).otherwise(base)
-    raw = base + F.when(hits(context, ARABIC_NEAR) > 0, 0.15).otherwise(0) + F.when(F.size(F.split(F.trim(x), r"\s+")) > 1, 0.1).otherwise(0) - F.when(F.length(x) < 4, 0.3).otherwise(0) - F.when(is_common, 0.4).otherwise(0) + F.when(x.rlike("^(الشيخ|الدكتور|الأستاذ|السيد|المهندس)"), 0.2).otherwise(0)
+    """The type's base, more near one of its words; for names less if short and alone, more for several words and after a title; less for common words."""
+    base = _by_kind(kind, ARABIC_BASE, F.lit, F.lit(0.6))
+    near = _by_kind(kind, ARABIC_NEAR, lambda ws: hits(F.lower(context), ws) > 0, F.lit(False))
+    n, name = word_count(x), kind == "AR_NAME"
+    titled = F.exists(F.array(*(F.lit(p) for p in ARABIC_PREFIXES)), lambda p: x.startswith(p))
+    boost = F.when(near, 0.15).otherwise(0.0) + F.when(name & (n >= 2), 0.1).otherwise(0.0) + F.when(name & titled, 0.2).otherwise(0.0)
+    raw = base + boost - F.when(name & (n == 1) & (F.length(x) < 5), 0.3).otherwise(0.0) - F.when(is_common, 0.4).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
-def arabic_context_score(context: Column, x: Column) -> Column:
-    """0.5, more near a title or verb of speech, a little more for several words, less for a short one."""
-    raw = F.lit(0.5) + F.when(hits(context, ARABIC_NEAR) > 0, 0.2).otherwise(0) + F.when(x.contains(" "), 0.1).otherwise(0) - F.when(F.length(x) < 4, 0.2).otherwise(0)
+def arabic_context_score(kind: Column, context: Column, x: Column) -> Column:
+    """0.5; names and addresses more near one of their words, names more for several words and less if short."""
+    name, address = kind == "AR_NAME", kind.contains("ADDRESS")
+    near = F.when(name, hits(context, ARABIC_NEAR["AR_NAME"]) > 0).when(address, hits(context, ARABIC_NEAR["AR_ADDRESS"]) > 0).otherwise(False)
+    raw = F.lit(0.5) + F.when(near, 0.2).otherwise(0.0) + F.when(name & (word_count(x) > 1), 0.1).otherwise(0.0) - F.when(name & (F.length(x) < 5), 0.2).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
-def french_score(kind: Column, sentences: Column, at: Column) -> Column:
-    """0.7, plus 0.3 for each of the type's words in the span's sentence and 0.2 for each in a neighbouring one; 1 at most.
+def french_score(kind: Column, sentences: Column, at: Column, x: Column) -> Column:
+    """0.7, 0.3 for each of the type's words in the span's sentence, 0.2 for each in a neighbouring one, and what its shape is worth; 1 at most.
 
-    sentences: array of sentences; at: the number of the span's.
+    sentences: array of sentences; at: the number of the span's; x: the span's text.
     """
-    out = F.lit(0.7)
-    for name, ws in FRENCH_NEAR.items():
-        same = hits(F.lower(F.coalesce(F.get(sentences, at), F.lit(""))), ws) * 0.3
-        near = (hits(F.lower(F.coalesce(F.get(sentences, at - 1), F.lit(""))), ws) + hits(F.lower(F.coalesce(F.get(sentences, at + 1), F.lit(""))), ws)) * 0.2
-        out = F.when(kind == name, F.least(F.lit(1.0), F.lit(0.7) + same + near)).otherwise(out)
-    return out
-
-
-def ner_score(kind: Column, x: Column, context: Column) -> Column:
-    titled, street = hits(context, TITLES) > 0, hits(context, STREET_WORDS) > 0
-    return F.when((kind == "PERSON") & titled, 0.95).when((kind == "LOCATION") & street, 0.95).when(x.contains(" "), 0.9).otherwise(0.85)
+    said = lambda k: F.lower(F.coalesce(F.get(sentences, k), F.lit("")))
+    near = _by_kind(kind, FRENCH_NEAR, lambda ws: hits(said(at), ws) * 0.3 + (hits(said(at - 1), ws) + hits(said(at + 1), ws)) * 0.2, F.lit(0.0))
+    shape = _by_kind(kind, FRENCH_SHAPES, lambda v: F.when(x.rlike(v[0]), v[1]).otherwise(0.0), F.lit(0.0))
+    return F.least(F.lit(1.0), F.lit(0.7) + near + shape)
+
+
+def ner_score(label: Column, x: Column, before: Column, context: Column, lang: Column) -> Column:
+    """A model's find by its label: in French persons after a title, organisations of several words and places near a street word;
+    else persons and organisations of several words. before, context: the 20 characters before, and those with the span and 20 after."""
+    several = word_count(x) > 1
+    french = F.when((label == "PER") & (hits(F.lower(before), FRENCH_TITLES) > 0), 0.95).when((label == "ORG") & several, 0.9).when((label == "LOC") & (hits(F.lower(context), FRENCH_STREETS) > 0), 0.95)
+    other = F.when((label == "PERSON") & several, 0.95).when((label == "ORG") & several, 0.9)
+    return F.coalesce(F.when(lang == "fr", french).otherwise(other), F.lit(0.85))
 
 
 #: Phrases of time that are no dates. Fixed values.

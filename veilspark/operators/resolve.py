@@ -147,13 +147,20 @@ def merge_adjacent(spans: Column, text: Column, gap: int = MERGE_GAP) -> Column:
     return with_text(_fold(spans, lambda kept, s: F.when(near(_last(kept), s), join(kept, s)).otherwise(_put(kept, s))), text)
 
 
-def trim_bounds(spans: Column, chars: str = "\"'()[]{}<>.,;: ") -> Column:
-    """Spans without the given characters at their ends; spans of nothing else go."""
+#: What does not belong to an entity at its beginning and at its end. Fixed values.
+OPENERS = "\"'«([{"
+CLOSERS = "\"'»)]}.,;:"
+
+
+def trim_bounds(spans: Column, openers: str = OPENERS, closers: str = CLOSERS) -> Column:
+    """Spans without white space around them, then without openers before and closers behind; spans of nothing else go."""
 
     def trim(s: Column) -> Column:
-        left = F.ltrim(s["text"], F.lit(chars))
-        cut = F.length(s["text"]) - F.length(left)
-        clean = F.rtrim(left, F.lit(chars))
+        bare = F.regexp_replace(s["text"], r"(?U)^\s+", "")
+        left = F.ltrim(F.regexp_replace(bare, r"(?U)\s+$", ""), F.lit(openers))
+        indent = F.length(s["text"]) - F.length(bare)
+        cut = indent + F.length(F.regexp_replace(bare, r"(?U)\s+$", "")) - F.length(left)
+        clean = F.rtrim(left, F.lit(closers))
         return s.withField("start", s["start"] + cut).withField("end", s["start"] + cut + F.length(clean)).withField("text", clean)
 
     return F.filter(F.transform(spans, trim), lambda s: s["text"] != "")
@@ -178,10 +185,15 @@ def best_of_repeats(spans: Column, length: int = 5, hits: int = 2) -> Column:
 
 
 def post_filter(spans: Column, lang: Column, least: float = 0.0) -> Column:
-    """Without spans that lack a type, score too low, or are one common word or a short number."""
+    """Without spans that lack a type, score too low, or are a single common word, and without short numbers and times that have no letter."""
     from ..functions.validate import common_word
 
-    return F.filter(spans, lambda s: s["type"].isNotNull() & (s["score"] >= least) & ~common_word(s["text"], lang) & ~((F.length(s["text"]) < 4) & s["text"].rlike(r"^\d+$")))
+    def good(s: Column) -> Column:
+        single = F.regexp_count(s["text"], F.lit(r"(?U)\S+")) <= 1
+        short = s["type"].isin("CARDINAL", "TIME") & (F.length(F.trim(s["text"])) < 4) & ~s["text"].rlike(r"\p{L}")
+        return s["type"].isNotNull() & (s["score"] >= least) & ~(common_word(s["text"], lang) & single) & ~short
+
+    return F.filter(spans, good)
 
 
 #: Beginnings of payment tokens, organisations taken for persons, and words of places. Fixed values.

@@ -46,18 +46,6 @@ def checked_papers(spark, sf_dir):
     return cases(spark, *PAPERS).select("x", *(validate.VALIDATORS[v](F.col("x")).alias(k) for k, v in names.items()))
 
 
-AMOUNTS = ("123456789012345|VAT no", "123456789012345|none", "378282246310005|vat", "378282246310005|الرقم الضريبي", "4111111111111111|بطاقة", "4111111111111111|none", "100 ريال|none", "فاتورة 12|none", "tok_abcdefghijklmnop|none", "word|none")
-
-
-@query(f"""
-with a as (select x, split_part(x, '|', 1) as v, split_part(x, '|', 2) as c, regexp_replace(split_part(x, '|', 1), '[^0-9]', '', 'g') as d from {cases_sql(*AMOUNTS)})
-select x, case when length(d) = 15 and regexp_matches(c, 'ضريب|VAT|vat') and (not {luhn_sql("v")} or regexp_matches(c, 'الرقم الضريبي|ضريبة القيمة المضافة')) then 'VAT_NUMBER' when length(d) = 16 and regexp_matches(c, 'بطاقة|كارت|فيزا|ماستر|ائتمان') then 'CREDIT_CARD'
-  when regexp_matches(v, 'ريال|درهم|دينار|جنيه') then 'CURRENCY_AMOUNT' when contains(v, 'فاتورة') then 'INVOICE_NUMBER' when regexp_full_match(v, '(tok|pi|ch)_[a-zA-Z0-9]{{16,}}') then 'PAYMENT_TOKEN' else 'FINANCIAL_INFO' end as kind from a""")
-def arabic_financial_kinds(spark, sf_dir):
-    x = F.split("x", r"\|")
-    return cases(spark, *AMOUNTS).select("x", validate.arabic_financial_kind(x[0], x[1]).alias("kind"))
-
-
 FORMS = ("  Hello \t World\r\nnext\rline ", "a​b﻿c", "Ġword", "▁Word.", "x; ", "", "ENGLISH", "fr-FR", "de", "per", "Gpe", "other", "123 456", "أحمد إلى آدم", "مدرسة  كبرى")
 
 
@@ -96,29 +84,6 @@ def masked_values(spark, sf_dir):
     return cases(spark, *MASKED).select("x", *(mask.MASKS[n](kind, value, F.lit("")).alias(n) for n in names))
 
 
-SCORED = ("PERSON|Ann Lee|dear mr lee", "PERSON|Ann|none", "LOCATION|Main|the street here", "ORG|Big Co|street", "FR_PHONE|01|mon téléphone portable", "FR_NAME|X|je suis", "AR_NAME|محمد علي|السيد", "AR_NAME|ab|none", "AR_EMAIL|a@b.sa|قال", "OTHER|الدكتور|none")
-
-
-@query(f"""
-with k as (select x, split_part(x, '|', 1) as t, split_part(x, '|', 2) as v, split_part(x, '|', 3) as c from {cases_sql(*SCORED)}),
-n as (select *, len(list_filter({twins.words(*score.ARABIC_NEAR)}, lambda w: contains(c, w))) as near, len(list_filter(case t when 'FR_PHONE' then {twins.words(*score.FRENCH_NEAR["FR_PHONE"])} when 'FR_NAME' then {twins.words(*score.FRENCH_NEAR["FR_NAME"])} else [] end, lambda w: contains(c, w))) as fr from k)
-select x, cast(case when (t = 'PERSON' and len(list_filter({twins.words(*score.TITLES)}, lambda w: contains(c, w))) > 0) or (t = 'LOCATION' and len(list_filter({twins.words(*score.STREET_WORDS)}, lambda w: contains(c, w))) > 0) then 0.95 when contains(v, ' ') then 0.9 else 0.85 end as double) as ner,
-  round(cast(least(1, 0.7 + 0.3 * fr) as double), 6) as french,
-  round(cast(greatest(0, least(1, case t when 'AR_NAME' then 0.8 when 'AR_EMAIL' then 0.9 else 0.6 end + case when near > 0 then 0.15 else 0 end + case when contains(v, ' ') then 0.1 else 0 end - case when length(v) < 4 then 0.3 else 0 end + case when regexp_matches(v, '^(الشيخ|الدكتور|الأستاذ|السيد|المهندس)') then 0.2 else 0 end)) as double), 6) as arabic,
-  round(cast(greatest(0, least(1, 0.5 + case when near > 0 then 0.2 else 0 end + case when contains(v, ' ') then 0.1 else 0 end - case when length(v) < 4 then 0.2 else 0 end)) as double), 6) as arabic_context,
-  case when contains(c, 'none') then null else round(cast(least(1, 0.8 + case when contains(c, 'street') then 0.05 else 0 end) as double), 6) end as vetoed from n""")
-def context_scores(spark, sf_dir):
-    t, v, c = (F.split("x", r"\|")[i] for i in range(3))
-    out = {
-        "ner": score.ner_score(t, v, c),
-        "french": score.french_score(t, F.array(c), F.lit(0)),
-        "arabic": score.arabic_score(t, v, c, F.lit(False)),
-        "arabic_context": score.arabic_context_score(c, v),
-        "vetoed": score.veto_or_boost(F.lit(0.8), c, ("none",), ("street",)),
-    }
-    return cases(spark, *SCORED).select("x", *((F.round(s, 6) if n != "ner" else s).alias(n) for n, s in out.items()))
-
-
 # ---- reports on whole tables ---------------------------------------------------------------------
 
 NUMBERS = only("simple", "CREDIT_CARD", "PHONE_NUMBER", "BANK_ACCOUNT")

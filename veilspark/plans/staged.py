@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bidi, jsontext, positions
+from ..functions import bidi, jsontext, positions, score, validate
 from ..functions.rules import Profile, Rule
 from ..operators import intervals, merge, pivots, resolve
 from . import pipeline, twins
-from .queries import EMAIL_CASED_SQL, IP_LIGHT_SQL, KNN_SQL, hits, only, query, read
+from .queries import EMAIL_CASED_SQL, IP_LIGHT_SQL, KNN_SQL, hits, luhn_sql, only, query, read
 
 # ---- positions -----------------------------------------------------------------------------------
 
@@ -87,6 +87,73 @@ def display_pass_entities(spark, sf_dir):
     return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
 
 
+# ---- scores and kinds by context -----------------------------------------------------------------
+
+NAME, NUMBER = r"[A-Z][a-z]+(?: [A-Z][a-z]+)?", r"[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[0-9]{4}[ -]?){3}[0-9]{3,4}|[0-9]{8,22}"
+
+
+def _lines(spark, sf_dir, pattern: str):
+    """The first find of a pattern in each line of the documents, with what stands around it."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "lang", "lines", F.posexplode("lines").alias("n", "line")).withColumn("x", F.regexp_extract("line", pattern, 0)).where("x <> ''")
+    return rows.withColumn("at", F.expr("instr(line, x) - 1")).withColumn("z", F.expr("at + length(x)"))
+
+
+def _lines_sql(pattern: str) -> str:
+    return f"""l as (select doc_id, lang, string_split(text, chr(10)) as lines from documents),
+e as (select doc_id, lang, lines, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as n from l),
+f as (select *, regexp_extract(line, '{pattern}', 0) as x from e),
+k as (select *, instr(line, x) - 1 as a, instr(line, x) - 1 + length(x) as z from f where x <> '')"""
+
+
+def _any(words, x: str) -> str:
+    return f"len(list_filter({twins.words(*words)}, lambda w: contains({x}, w)))"
+
+
+def _window(width: int) -> str:
+    return f"lower(substr(line, greatest(a - {width}, 0) + 1, z + {width} - greatest(a - {width}, 0)))"
+
+
+@query(f"""
+with {_lines_sql(NAME)},
+w as (select *, contains(x, ' ') as several, lower(substr(line, greatest(a - 20, 0) + 1, a - greatest(a - 20, 0))) as before, {_window(20)} as around, lower(lines[n]) as own, lower(coalesce(lines[n - 1], '')) as prior, lower(coalesce(lines[n + 1], '')) as later from k)
+select doc_id, cast(n - 1 as int) as line, x as text,
+  cast(case when lang = 'fr' then 0.85 when several then 0.95 else 0.85 end as double) as person, cast(case when several then 0.9 else 0.85 end as double) as organization,
+  cast(case when lang = 'fr' and {_any(score.FRENCH_TITLES, 'before')} > 0 then 0.95 else 0.85 end as double) as french_person, cast(case when lang = 'fr' and {_any(score.FRENCH_STREETS, 'around')} > 0 then 0.95 else 0.85 end as double) as french_place,
+  round(cast(least(1, 0.9 + 0.3 * {_any(score.FRENCH_NEAR['FR_NAME'], 'own')} + 0.2 * ({_any(score.FRENCH_NEAR['FR_NAME'], 'case when n > 1 then prior else chr(0) end')} + {_any(score.FRENCH_NEAR['FR_NAME'], 'later')})) as double), 6) as french_name,
+  round(cast(case when several then 0.9 when length(x) < 5 then 0.5 else 0.8 end as double), 6) as arabic_name, round(cast(case when several then 0.6 else 0.5 end - case when length(x) < 5 then 0.2 else 0 end as double), 6) as arabic_context
+from w""")
+def context_scores(spark, sf_dir):
+    """What the first capitalised words of each line would score as persons, organisations and places."""
+    rows = _lines(spark, sf_dir, NAME)
+    x, lang = F.col("x"), F.col("lang")
+    near = score.around(F.col("line"), F.col("at"), F.col("z"), 20)
+    before = F.expr("lower(substr(line, greatest(at - 20, 0) + 1, at - greatest(at - 20, 0)))")
+    found = {name: score.ner_score(F.lit(label), x, before, near, lang) for name, label in (("person", "PERSON"), ("organization", "ORG"), ("french_person", "PER"), ("french_place", "LOC"))}
+    found["french_name"] = F.round(score.french_score(F.lit("FR_NAME"), F.col("lines"), F.col("n"), x), 6)
+    found["arabic_name"] = F.round(score.arabic_score(F.lit("AR_NAME"), x, near, F.lit(False)), 6)
+    found["arabic_context"] = F.round(score.arabic_context_score(F.lit("AR_NAME"), near, x), 6)
+    return rows.select("doc_id", F.col("n").alias("line"), x.alias("text"), *(v.alias(k) for k, v in found.items()))
+
+
+@query(f"""
+with {_lines_sql(NUMBER)},
+w as (select *, {_window(50)} as around, regexp_replace(x, '[ -]', '', 'g') as clean from k),
+c as (select *, length(clean) in (15, 16) and {luhn_sql('clean')} as luhn from w)
+select doc_id, cast(n - 1 as int) as line, x as text,
+  case when regexp_full_match(x, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') then case when x[1:3] not in ('000', '666') and x[1:3] < '900' and x[5:6] <> '00' and x[8:11] <> '0000' then 'SSN' end
+    when regexp_full_match(x, '[0-9]{{2}}([- ]?[0-9]{{4}}){{5}}') or {_any(validate.ACCOUNT_WORDS, 'around')} > 0 then 'BANK_ACCOUNT' when luhn and {_any(validate.NO_CARD_WORDS, 'around')} = 0 then 'CREDIT_CARD' end as kind,
+  case when length(clean) = 15 and {_any(validate.NO_CARD_WORDS, 'around')} > 0 then case when not luhn or {_any(validate.STRONG_TAX_WORDS, 'around')} > 0 then 'VAT_NUMBER' end
+    when regexp_matches(x, '^\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}\b') or luhn then case when {_any(validate.CARD_WORDS, 'around')} > 0 then 'CREDIT_CARD' end when length(clean) = 20 then 'BANK_ACCOUNT' end as arabic_kind
+from c""")
+def financial_kinds(spark, sf_dir):
+    """What the first long number of each line is by the two financial cascades."""
+    rows = _lines(spark, sf_dir, NUMBER)
+    near = score.around(F.col("line"), F.col("at"), F.col("z"), 50)
+    name = F.when(F.length(F.regexp_replace("x", "[ -]", "")) == 20, "Arabic Bank Account")
+    return rows.select("doc_id", F.col("n").alias("line"), F.col("x").alias("text"), validate.financial_kind(F.col("x"), near).alias("kind"), validate.arabic_financial_kind(F.col("x"), near, name).alias("arabic_kind"))
+
+
 # ---- overlap groups ------------------------------------------------------------------------------
 
 #: Overlapping rules of several methods and scores.
