@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pivots, vectors of the sample they are chosen from, vectors of a block, queries of a block.
@@ -33,14 +33,18 @@ SLACK, LEAST = 1e-6, 1e-9
 BLOCKS = "block long, cell int, ids array<long>, n int, vectors binary, far binary, low array<double>, high array<double>"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` from a checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and the master local."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the folder that spark.checkpoint.dir names for checkpoints; a temporary one only where that is unset and the master local."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspark-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` from a checkpoint."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import bidi, jsontext, positions, score, validate
+from ..functions import bidi, jsontext, positions, score, tables, validate
 from ..functions.rules import Profile, Rule
-from ..operators import intervals, merge, pivots, resolve
+from ..operators import aggregates, intervals, merge, pivots, resolve
+from ..sources import keyed
 from . import pipeline, twins
-from .queries import EMAIL_CASED_SQL, IP_LIGHT_SQL, KNN_SQL, hits, luhn_sql, only, query, read
+from .queries import EMAIL_CASED_SQL, EMAIL_SETS_SQL, IP_LIGHT_SQL, KNN_SQL, _sets, hits, luhn_sql, only, query, read
 
 # ---- positions -----------------------------------------------------------------------------------
 
@@ -252,6 +255,64 @@ def knn_pivot_share(spark, sf_dir):
     return taken.crossJoin(F.broadcast(e.agg(F.count("*").alias("vectors")))).withColumn("share", F.round(F.col("computed") / (F.col("queries") * F.col("vectors")), 4))
 
 
+# ---- plug-ins and tables that last -----------------------------------------------------------------
+
+PARTS = only("simple", "EMAIL", "PHONE_NUMBER", "CREDIT_CARD")
+PARTS_MASKED = only("simple", "EMAIL", "PHONE_NUMBER", "CREDIT_CARD", policy="greedy_first")
+
+
+@query(f"""
+with {twins.spans(PARTS.rules)} select doc_id, type, text, "start", "end", score from s""")
+def scan_by_table_function(spark, sf_dir):
+    """The finds of a pack as rows of a table function called in SQL."""
+    tables.register(spark, "veil_finds", PARTS)
+    docs = read(spark, sf_dir, "documents")
+    return spark.sql('select d.doc_id, f.type, f.text, f.start, f.end, f.score from {docs} d, lateral veil_finds(d.text, d.lang) f', docs=docs)
+
+
+@query(f"""
+with {EMAIL_SETS_SQL}, o as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.type, b.type) as type, count(a.type) filter (b.type is not null) as tp, count(a.type) as found, count(b.type) as truth from a full outer join b on a.doc_id = b.doc_id and a.text = b.text and a.type = b.type group by 1, 2),
+m as (select type, case when found > 0 then tp / found else 0 end as p, case when truth > 0 then tp / truth else 0 end as r, 2 * tp / (found + truth) as f from o)
+select type, count(*) as p_n, round(sum(p), 6) as p_sum, round(avg(p), 6) as p_mean, round(min(p), 6) as p_min, round(max(p), 6) as p_max, count(*) as r_n, round(sum(r), 6) as r_sum, round(avg(r), 6) as r_mean, round(min(r), 6) as r_min, round(max(r), 6) as r_max,
+  count(*) as f_n, round(sum(f), 6) as f_sum, round(avg(f), 6) as f_mean, round(min(f), 6) as f_min, round(max(f), 6) as f_max from m group by type""")
+def metric_summaries(spark, sf_dir):
+    """Precision, recall and F1 of each document, summed up by type with aggregates that a caller supplies."""
+    pred, truth = (s.withColumn(n, F.lit(True)) for s, n in zip(_sets(spark, sf_dir), ("a", "b"), strict=True))
+    both = pred.join(truth, ["doc_id", "text", "type"], "full").groupBy("doc_id", "type").agg(F.count_if(F.col("a") & F.col("b")).alias("tp"), F.count("a").alias("found"), F.count("b").alias("truth"))
+    share = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    each = both.select("type", share(F.col("tp"), F.col("found")).alias("p"), share(F.col("tp"), F.col("truth")).alias("r"), share(2 * F.col("tp"), F.col("found") + F.col("truth")).alias("f"))
+    out = aggregates.summarized(each, ["type"], *(aggregates.Summary(c) for c in "prf"))
+    return out.select("type", *(F.col(c) if c.endswith("_n") else F.round(c, 6).alias(c) for c in out.columns if c != "type"))
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder where all executors see it."""
+    pivots.checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+select conv_id, turn, case when conv_id % 5 = 0 then upper(role) else role end as role, text, cast(case when conv_id % 5 = 0 then 2 else 1 end as bigint) as version from conversations
+union all select -conv_id - 1, turn, role, text, 1 from conversations where conv_id % 7 = 0""")
+def upserted_conversations(spark, sf_dir):
+    """The conversations after an update of every fifth one, and new ones."""
+    turns, path = read(spark, sf_dir, "conversations").withColumn("version", F.lit(1).cast("long")), _folder(spark, "conversations")
+    keyed.upsert(turns, path, ["conv_id", "turn"], buckets=16)
+    changed = turns.where("conv_id % 5 = 0").withColumns({"role": F.upper("role"), "version": F.lit(2).cast("long")})
+    added = turns.where("conv_id % 7 = 0").withColumn("conv_id", -F.col("conv_id") - 1)
+    keyed.upsert(changed.unionByName(added), path, ["conv_id", "turn"], buckets=16)
+    return keyed.read_keyed(spark, path).select("conv_id", "turn", "role", "text", "version")
+
+
+@query(twins.analysis(PARTS_MASKED))
+def analysis_from_cache(spark, sf_dir):
+    """The documents' analysis, for those of one language from results that an earlier run has left."""
+    docs, path = read(spark, sf_dir, "documents"), _folder(spark, "results")
+    keyed.analyzed_once(docs.where("lang = 'en'"), path, PARTS_MASKED)
+    out = keyed.analyzed_once(docs, path, PARTS_MASKED)
+    return out.select("doc_id", "masked_text", F.col("statistics.total_entities").alias("total_entities"), F.array_join("statistics.unique_types", ",").alias("types"))
+
+
 # ---- JSON ----------------------------------------------------------------------------------------
 
 
