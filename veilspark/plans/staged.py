@@ -139,7 +139,7 @@ def context_scores(spark, sf_dir):
     return rows.select("doc_id", F.col("n").alias("line"), x.alias("text"), *(v.alias(k) for k, v in found.items()))
 
 
-@query(f"""
+@query(rf"""
 with {_lines_sql(NUMBER)},
 w as (select *, {_window(50)} as around, regexp_replace(x, '[ -]', '', 'g') as clean from k),
 c as (select *, length(clean) in (15, 16) and {luhn_sql('clean')} as luhn from w)
