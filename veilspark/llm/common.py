@@ -116,7 +116,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 #: Spark's setting for the bytes of an Arrow batch, and its default.
 BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bytes of a batch that are worked on at a time, besides those of a single longer row.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
