@@ -80,16 +80,6 @@ def test_windows_sessions_and_unique_texts(spark, tmp_path):
     assert sorted(r.masked_text for r in spark.read.parquet(str(tmp_path / "uo")).collect()) == ["mail [EMAIL]", "x"]
 
 
-def test_adaptive_thresholds(spark, tmp_path):
-    rows = [("a", k, k % 2 == 0) for k in range(6)] + [("b", k, False) for k in range(6)]
-    spark.createDataFrame(rows, "method string, ts int, false_positive boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = stream.read_files(spark, str(tmp_path / "in"), "method string, ts int, false_positive boolean")
-    q = stream.adaptive_thresholds(s).writeStream.format("memory").queryName("thresholds").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.method: r for r in spark.table("thresholds").collect()}
-    assert (round(got["a"].threshold, 2), got["a"].false_positives, got["a"].total) == (0.8, 3, 6) and got["b"].threshold == 0.5
-
-
 def test_metrics_are_named_by_their_time(spark, tmp_path):
     from datetime import datetime
 

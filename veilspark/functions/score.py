@@ -166,6 +166,16 @@ def above(spans: Column, thresholds: dict[str, float], default: float = 0.5) ->
     return F.filter(spans, lambda s: s["score"] >= F.coalesce(F.try_element_at(least, s["type"]), F.lit(default)))
 
 
+def above_learnt(spans: Column, learnt: dict[tuple[str, str], float], default: float = 0.5) -> Column:
+    """Spans whose score reaches the threshold of their method and type."""
+    if not learnt:
+        return spans
+    methods = sorted({method for method, _ in learnt})
+    of = {m: F.create_map(*(F.lit(x) for (method, kind), v in learnt.items() if method == m for x in (kind, v))) for m in methods}
+    least = F.create_map(*(x for m in methods for x in (F.lit(m), of[m])))
+    return F.filter(spans, lambda s: s["score"] >= F.coalesce(F.try_element_at(F.try_element_at(least, s["method"]), s["type"]), F.lit(default)))
+
+
 def normal_value(kind: Column, x: Column) -> Column:
     """(ddd) ddd-dddd for phones of ten digits; groups of four for cards that check."""
     d = F.regexp_replace(x, "[^0-9]", "")

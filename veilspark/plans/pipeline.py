@@ -55,13 +55,16 @@ def statistics(entities: Column) -> Column:
     )
 
 
-def detect(df: DataFrame, name: str | Profile = "light", *, text: str = "text", lang: str = "lang", policy: str | None = None, backend: str = "auto") -> DataFrame:
-    """`df` with `entities`: the profile's spans, validated, scored and resolved. Null text has none."""
+def detect(df: DataFrame, name: str | Profile = "light", *, text: str = "text", lang: str = "lang", policy: str | None = None, backend: str = "auto", learnt: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """`df` with `entities`: the profile's spans, validated, scored and resolved. Null text has none.
+
+    With `learnt`, thresholds by (method, type), spans below these are dropped as well.
+    """
     rules = name if isinstance(name, Profile) else profile(name)
     language = F.col(lang) if lang in df.columns else tx.guess_language(F.col(text))
     policy = policy or rules.policy
     out = df.withColumn("__spans", spans(F.col(text), language, rules, backend))
-    kept = resolve(score.above(F.col("__spans"), rules.thresholds), policy)
+    kept = resolve(score.above_learnt(score.above(F.col("__spans"), rules.thresholds), learnt or {}), policy)
     if policy == "interval_union":
         kept = with_text(kept, F.col(text))
     return out.withColumn("entities", kept).drop("__spans")

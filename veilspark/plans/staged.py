@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions import bidi, jsontext, positions, score, tables, validate
-from ..functions.rules import Profile, Rule
+from ..functions.rules import PROFILES, Profile, Rule
 from ..operators import aggregates, intervals, merge, pivots, resolve
-from ..sources import keyed
+from ..sources import keyed, requests
+from ..streaming import adaptive, stream
 from . import pipeline, twins
 from .queries import EMAIL_CASED_SQL, EMAIL_SETS_SQL, IP_LIGHT_SQL, KNN_SQL, _sets, hits, luhn_sql, only, query, read
 
@@ -341,3 +343,79 @@ def json_string_leaves(spark, sf_dir):
     return jsontext.strings(wrapped, "doc_id", "j")
 
 
+
+
+# ---- thresholds that learn -----------------------------------------------------------------------
+
+#: Rules that differ in score and method, so that feedback on some drops their finds.
+DOUBTED = Profile("doubted", tuple(replace(r, score=s, method=m) for r, s, m in zip(FINDS.rules, (0.75, 0.55, 0.97), ("regex", "digits", "words"), strict=True)), "all")
+_DOUBTED_SQL = "case type " + " ".join(f"when {twins.text(r.type)} then {r.score}" for r in DOUBTED.rules) + " end"
+
+
+@query(f"""
+with d as (select doc_id, text as t, lang is not distinct from 'en' as early from documents where text is not null), {_found_sql("d")},
+f as (select m.*, coalesce(quality = 0, false) as bad from m join labels using (doc_id)),
+r as (select type, early, bad, sum(cast(bad as int)) over w as wrong, count(*) over w as n from f window w as (partition by type order by early desc, doc_id, a)),
+u as (select type, count(*) filter (where early and bad and wrong / n > 0.1) as one, count(*) filter (where bad and wrong / n > 0.1) as two from r group by type)
+select m.doc_id, m.type, a as "start", z as "end", substr(t, a + 1, z - a) as text from m left join u using (type)
+where {_DOUBTED_SQL} >= least(0.5 + 0.1 * coalesce(case when early then one else two end, 0), 0.95)""")
+def adaptive_scan(spark, sf_dir):
+    """The documents as a stream of two batches, each scanned by what labels have taught so far: a find in a text of low quality is wrong."""
+    docs, labels, path = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"), _folder(spark, "adaptive")
+    early = F.col("lang").eqNullSafe("en")
+    for part in (early, ~early):
+        docs.where(part).write.mode("append").parquet(f"{path}/texts")
+        finds = docs.where(part).join(labels, "doc_id").select("doc_id", "text", "lang", "quality")
+        found = pipeline.detect(finds, DOUBTED).select("doc_id", (F.col("quality") == 0).alias("false_positive"), F.explode("entities").alias("e"))
+        found.select("e.method", "e.type", F.struct("doc_id", "e.start"), "false_positive").toDF("method", "type", "ts", "false_positive").write.mode("append").parquet(f"{path}/feedback")
+        feedback = stream.read_files(spark, f"{path}/feedback", "method string, type string, ts struct<doc_id:long,start:int>, false_positive boolean", files_per_batch=1_000_000)
+        adaptive.learn(feedback.withColumn("ts", F.format_string("%019d %010d", "ts.doc_id", "ts.start")), f"{path}/learnt", f"{path}/learning")
+        texts = stream.read_files(spark, f"{path}/texts", "doc_id long, text string, lang string", files_per_batch=1_000_000)
+        adaptive.detect(texts, f"{path}/learnt", f"{path}/found", f"{path}/scanning", DOUBTED)
+    return adaptive.results(spark, f"{path}/found").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
+
+
+# ---- requests ------------------------------------------------------------------------------------
+
+
+@query(f"""
+with t as (select 'c' || conv_id as id, text from conversations union all select 'd' || doc_id, text from documents)
+select id, count(*) as texts, count(text) as answered, count(*) - count(text) as errors,
+cast(coalesce(sum(length(regexp_extract_all(text, {EMAIL_CASED_SQL})) + length(regexp_extract_all(regexp_replace(text, {EMAIL_CASED_SQL}, '[EMAIL]', 'g'), {IP_LIGHT_SQL}))), 0) as bigint) as entities from t group by id""")
+def request_batches(spark, sf_dir):
+    """Conversations as requests of many texts and documents as requests of one, read from files of bodies and answered."""
+    rules, path = only("light", "EMAIL", "IP_ADDRESS", policy="greedy_first"), _folder(spark, "requests")
+    docs, turns = read(spark, sf_dir, "documents"), read(spark, sf_dir, "conversations")
+    single = docs.select(F.struct("text", F.col("lang").alias("language"), F.struct(F.concat(F.lit("d"), "doc_id").alias("id")).alias("config")).alias("b"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    many = turns.groupBy("conv_id").agg(in_order.alias("texts")).select(F.struct("texts", F.struct(F.concat(F.lit("c"), "conv_id").alias("id")).alias("config")).alias("b"))
+    for k, bodies in enumerate((single, many)):
+        bodies.select(F.to_json("b").alias("value")).write.text(f"{path}/{k}")
+    spark.dataSource.register(requests.Requests)
+    both = spark.read.format("requests").load(f"{path}/0").unionByName(spark.read.format("requests").load(f"{path}/1").withColumn("request", F.concat(F.lit("c"), "request")))
+    out = requests.batch_results(both, rules)
+    found = F.aggregate("results", F.lit(0).cast("long"), lambda n, r: n + F.size(r["entities"]))
+    return out.select(F.col("config")["id"].alias("id"), F.col("total_processed").alias("texts"), F.col("success_count").alias("answered"), F.col("error_count").alias("errors"), found.alias("entities"))
+
+
+# ---- recognizers ---------------------------------------------------------------------------------
+
+RECOGNIZED = PROFILES["recognizers"]
+
+
+def _recognized_sql() -> str:
+    return ", ".join(f"{{'score': {r.score}, 'hits': case when lang = {twins.text(r.langs[0])} then regexp_extract_all(t, {twins.text(r.pattern)}) end}}" for r in RECOGNIZED.rules if r.type == "PHONE_NUMBER")
+
+
+@query(rf"""
+with d as (select doc_id, case when lang = 'fr' then 'fr' else 'ar' end as lang, regexp_replace(text, '\+1 \(([0-9]{{3}})\) ([0-9]{{3}})-([0-9]{{3}})[0-9]', '0\1\2\3', 'g') as t from documents),
+s as (select doc_id, lang, unnest([{_recognized_sql()}]) as x from d),
+h as (select doc_id, lang, x.score as score, unnest(x.hits) as text from s)
+select doc_id, lang, text, cast(score as double) as score, count(*) as n from h group by all""")
+def recognized_phones(spark, sf_dir):
+    """What the recognizers find as phones. The tables' phones are written with a nought and nine digits first, and texts that
+    are not French are taken for Arabic, as the tables hold neither country's numbers."""
+    docs = read(spark, sf_dir, "documents")
+    local = F.regexp_replace("text", r"\+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{3})[0-9]", "0$1$2$3")
+    texts = docs.select("doc_id", local.alias("text"), F.when(F.col("lang") == "fr", "fr").otherwise("ar").alias("lang"))
+    return pipeline.entities(texts, RECOGNIZED).where("type = 'PHONE_NUMBER'").groupBy("doc_id", "lang", "text", "score").agg(F.count("*").alias("n"))

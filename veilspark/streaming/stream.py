@@ -1,13 +1,9 @@
-"""Structured Streaming: the batch expressions on unbounded input, and the stateful operators."""
+"""Structured Streaming: the batch expressions on unbounded input. `adaptive` has the thresholds that learn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.rules import Profile
 from ..plans import pipeline
@@ -43,26 +39,6 @@ def sessions(df: DataFrame, *by: str, time: str = "ts", gap: str = "30 minutes",
     return s.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n")
 
 
-def adaptive_thresholds(feedback: DataFrame, *, start: float = 0.5, rate: float = 0.05, cap: float = 0.95) -> DataFrame:
-    """(method, threshold, false_positives, total) after each batch of feedback (method, ts, false_positive).
-
-    State by method; feedback counts in order of ts within a batch: the threshold rises by `rate`, to `cap` at
-    most, whenever over a tenth of the finds so far are wrong.
-    """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        threshold, wrong, total = state.get if state.exists else (start, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for bad in rows["false_positive"]:
-            wrong, total = wrong + int(bad), total + 1
-            if wrong / total > 0.1:
-                threshold = min(threshold + rate, cap)
-        state.update((threshold, wrong, total))
-        yield pd.DataFrame({"method": [key[0]], "threshold": [threshold], "false_positives": [wrong], "total": [total]})
-
-    return feedback.groupBy("method").applyInPandasWithState(update, "method string, threshold double, false_positives long, total long", "threshold double, wrong long, total long", "update", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str, *, format: str = "parquet", mode: str = "append") -> None:
     """All that is there now, then stop; a later call goes on from the checkpoint."""
     stream.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
