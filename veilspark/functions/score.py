@@ -128,6 +128,24 @@ def ner_score(label: Column, x: Column, before: Column, context: Column, lang: C
     return F.coalesce(F.when(lang == "fr", french).otherwise(other), F.lit(0.85))
 
 
+#: Words that name places in Arabic, and beginnings that do. Fixed values.
+PLACE_WORDS = ("مدينة", "شارع", "حي", "منطقة", "الرياض", "جدة", "مكة", "المدينة", "طريق", "ميدان", "ساحة", "برج", "مبنى", "عمارة", "فندق")
+PLACE_STARTS = ("ال", "مدينة", "حي")
+LABELS = {"LOC": "LOCATION", "PER": "PERSON", "ORG": "ORGANIZATION"}
+
+
+def arabic_type(label: Column, x: Column, before: Column) -> Column:
+    """The type of a model's find in Arabic: a place if it is a word for one, if such a word is in the 30 characters before,
+    or if a person's name begins as places do; else the label's type. Labels that are not known stay."""
+    kind = label
+    for short, full in LABELS.items():
+        kind = F.when(label == short, full).otherwise(kind)
+    near = F.exists(F.array(*(F.lit(w) for w in PLACE_WORDS)), lambda w: before.contains(w))
+    starts = F.exists(F.array(*(F.lit(w) for w in PLACE_STARTS)), lambda w: x.startswith(w))
+    place = x.isin(*PLACE_WORDS) | F.coalesce(near, F.lit(False)) | ((kind == "PERSON") & starts)
+    return F.when(place, "LOCATION").otherwise(kind)
+
+
 #: Phrases of time that are no dates. Fixed values.
 NO_DATES = (r"countless\s+(?:hours|days|weeks|months|years)", r"(?:few|many|several)\s+(?:hours|days|weeks|months|years)", "(?:early|late|mid)")
 
