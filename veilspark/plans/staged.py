@@ -418,4 +418,4 @@ def recognized_phones(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     local = F.regexp_replace("text", r"\+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{3})[0-9]", "0$1$2$3")
     texts = docs.select("doc_id", local.alias("text"), F.when(F.col("lang") == "fr", "fr").otherwise("ar").alias("lang"))
-    return pipeline.entities(texts, RECOGNIZED).where("type = 'PHONE_NUMBER'").groupBy("doc_id", "lang", "text", "score").agg(F.count("*").alias("n"))
+    return pipeline.entities(texts, RECOGNIZED, policy="all").where("type = 'PHONE_NUMBER'").groupBy("doc_id", "lang", "text", "score").agg(F.count("*").alias("n"))
