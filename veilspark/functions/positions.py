@@ -15,15 +15,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .pieces import offsets, pieces
 
 #: at: where a stretch begins in the cleaned text; source: in the original; size: its length there. The last one is the end.
 MAP = "struct<at:array<int>,source:array<int>,size:array<int>>"
-CLEANED = f"text string, maps array<{MAP}>"
+CLEANED = f"struct<text:string,maps:array<{MAP}>>"
 #: Steps of the library's own clean-ups: (pattern, replacement). Fixed values.
 MARKDOWN = ((r"[*#_\[\]]", ""),)
 LINES = ((r"\r\n?", "\n"), (r"[ \t]+", " "), ("[​-‍﻿]", ""))
@@ -56,21 +58,32 @@ def one_step(text: str, pattern: re.Pattern[str], replacement: str) -> tuple[str
     return "".join(out), {"at": [*at, here], "source": [*source, len(text)], "size": [*size, 0]}
 
 
+def some(texts: list[str | None], ready: list[tuple[re.Pattern[str], str]]) -> pa.Array:
+    """CLEANED of some texts, as Arrow's struct; null for a null text in both fields."""
+    clean: list[str | None] = []
+    parts: dict[str, list[np.ndarray]] = {"at": [], "source": [], "size": []}
+    for t in texts:
+        for pattern, replacement in ready if t is not None else ():
+            t, one = one_step(t, pattern, replacement)
+            for name, places in one.items():
+                parts[name].append(np.array(places, np.int32))
+        clean.append(t)
+    lists = [pa.ListArray.from_arrays(offsets([len(p) for p in part]), pa.array(np.concatenate([np.zeros(0, np.int32), *part]))) for part in parts.values()]
+    maps = pa.StructArray.from_arrays(lists, list(parts))
+    first = offsets([0 if t is None else len(ready) for t in clean])
+    absent = pa.array([t is None for t in clean], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.ListArray.from_arrays(first, maps, mask=absent)], ["text", "maps"])
+
+
 def cleaned(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    """struct(text, maps): the text after the steps, and the map of each; one Arrow call."""
+    """struct(text, maps): the text after the steps, and the map of each; one Arrow call, some texts at a time."""
 
-    @F.pandas_udf(CLEANED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(CLEANED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = [(re.compile(p), r) for p, r in steps]
         for texts in batches:
-            rows = []
-            for t in texts:
-                maps = [] if t is not None else None
-                for pattern, replacement in ready if t is not None else ():
-                    t, one = one_step(t, pattern, replacement)
-                    maps.append(one)
-                rows.append((t, maps))
-            yield pd.DataFrame(rows, columns=["text", "maps"])
+            for at, n in pieces(texts):
+                yield some(texts.slice(at, n).to_pylist(), ready)
 
     return run(text)
 
