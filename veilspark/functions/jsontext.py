@@ -13,33 +13,37 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .pieces import pieces
 
 #: A string of JSON, and the colon that makes it a key.
 STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"(\s*:)?', re.DOTALL)
-PARTS = "gaps array<string>, raw array<string>, leaves array<string>"
+PARTS = "struct<gaps:array<string>,raw:array<string>,leaves:array<string>>"
+
+
+def _cut(t: str) -> tuple[list[str], list[str], list[str]]:
+    gaps, raw, done = [], [], 0
+    for m in STRING.finditer(t):
+        if m[1] is None:
+            gaps.append(t[done : m.start()])
+            raw.append(m[0])
+            done = m.end()
+    return [*gaps, t[done:]], raw, [json.loads(r, strict=False) for r in raw]
 
 
 def _parts(x: Column) -> Column:
     """What lies between the string leaves of each text, the leaves as written and as they read."""
 
-    @F.pandas_udf(PARTS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(PARTS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
-            for t in texts:
-                gaps, raw, done = [], [], 0
-                for m in STRING.finditer(t or ""):
-                    if m[1] is None:
-                        gaps.append(t[done : m.start()])
-                        raw.append(m[0])
-                        done = m.end()
-                rows.append(([*gaps, (t or "")[done:]], raw, [json.loads(r, strict=False) for r in raw]))
-            yield pd.DataFrame(rows, columns=["gaps", "raw", "leaves"])
+            for at, n in pieces(texts):
+                gaps, raw, leaves = zip(*(_cut(t or "") for t in texts.slice(at, n).to_pylist()), strict=True)
+                yield pa.StructArray.from_arrays([pa.array(v, pa.list_(pa.string())) for v in (gaps, raw, leaves)], ["gaps", "raw", "leaves"])
 
     return run(x)
 
