@@ -44,3 +44,19 @@ def test_few_vectors_give_as_many_ranks(spark):
     assert got == [(0, 1, 0, 0.0), (0, 2, None, 1.0), (0, 3, 20, 4.0)]
     assert retrieve.nearest(df.limit(0), df).collect() == [] and retrieve.nearest(df, df.limit(0)).collect() == []
     assert retrieve.nearest(df, df, 1).count() == 3
+
+
+def test_rows_of_one_partition_are_dealt_over_the_tasks(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id int, embedding array<double>").coalesce(1)
+    assert retrieve.blocks(df, "vec_id", "embedding", 8).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_bound_of_earlier_blocks_leaves_only_what_is_within_it(metric):
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(5, 8)), rng.normal(size=(300, 8))
+    every = np.array([retrieve.exact(np.repeat(one[None], len(x), 0), x, metric) for one in q])
+    bound = np.sort(every, axis=1)[:, 1]  # the second nearest: of the block's four nearest only two can matter
+    at, j = retrieve.candidates(q, x, 4, metric, bound)
+    assert sorted(zip(at.tolist(), j.tolist(), strict=True)) == sorted(zip(*(v.tolist() for v in np.nonzero(every <= bound[:, None])), strict=True))
+    assert len(retrieve.candidates(q, x, 4, metric, np.full(5, np.inf))[0]) == 20
