@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.rules import PROFILES, Profile, Rule, from_config, profile
-from veilspark.operators.scan import scan
-from veilspark.plans import pipeline
+from veilspark.operators.scan import least_digits, scan
+from veilspark.plans import pipeline, staged
 
 TEXTS = [
     (0, "John Smith of Example Corp, john.smith@mail.org, 555-123-4567, card 4111-1111-1111-1111, SSN 123-45-6789.", "en"),
@@ -132,3 +132,17 @@ def test_deduplicated_keeps_null_texts(spark):
     want = pipeline.analyze(docs.withColumn("text_sha256", F.sha2("text", 256)), "simple").select(*got.columns)
     key = lambda df: sorted((str(r.asDict(True)) for r in df.collect()))
     assert got.count() == 5 and key(got) == key(want)
+
+
+def test_least_digits_of_patterns_and_of_all_rules():
+    assert [least_digits(p) for p in (r"\d{3}[- ]?\d{4}", r"(?:\+\d{1,3} )?[0-9]+|x\d{2}", r"(?=\d{5})[\dA-F]{8}", r"[^0-9]{4}", r"(a|12)(?:3|45)", r"20[12]\d")] == [7, 1, 0, 0, 1, 4]
+    texts = ["no digit", "1", "12 34-5", "call +33 6 12 34 56 78 or 555-123-4567", "4111 1111 1111 1111, DE89 3704 0044 0532 0130 00", "٣٤٥ ١٢٣ ٤٥٦٧"]
+    for p in PROFILES.values():
+        for r in p.rules:
+            least, pattern = least_digits(r.pattern), re.compile(r.pattern, re.IGNORECASE if r.ignore_case else 0)
+            assert all(sum(map(str.isdecimal, m.group())) >= least for t in texts for m in pattern.finditer(t)), r
+
+
+def test_overlap_kinds_are_counted_from_one_scan(spark):
+    plan = staged.overlap_kind_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "documents" not in plan  # four scans of all rules before
