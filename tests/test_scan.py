@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.rules import PROFILES, Profile, Rule, from_config, profile
-from veilspark.operators.scan import least_digits, scan
+from veilspark.operators.scan import found, least_digits, scan
 from veilspark.plans import pipeline, staged
 
 TEXTS = [
@@ -146,3 +146,19 @@ def test_least_digits_of_patterns_and_of_all_rules():
 def test_overlap_kinds_are_counted_from_one_scan(spark):
     plan = staged.overlap_kind_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "documents" not in plan  # four scans of all rules before
+
+
+def test_rules_that_need_more_digits_than_a_text_has_are_not_searched():
+    searched = []
+
+    class Watched:
+        def __init__(self, name):
+            self.name = name
+
+        def finditer(self, text):
+            searched.append((self.name, text))
+            return iter(())
+
+    ready = [(k, Rule(name, p), Watched(name)) for k, (name, p) in enumerate((("long", r"\d{4}-\d{4}"), ("one", r"\d+"), ("any", "[a-z]")))]
+    found(["abc", "a 12", "1234 5678", None, ""], ["en"] * 5, ready)
+    assert searched == [("any", "abc"), ("one", "a 12"), ("any", "a 12"), ("long", "1234 5678"), ("one", "1234 5678"), ("any", "1234 5678")]
