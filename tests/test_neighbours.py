@@ -60,3 +60,20 @@ def test_a_bound_of_earlier_blocks_leaves_only_what_is_within_it(metric):
     at, j = retrieve.candidates(q, x, 4, metric, bound)
     assert sorted(zip(at.tolist(), j.tolist(), strict=True)) == sorted(zip(*(v.tolist() for v in np.nonzero(every <= bound[:, None])), strict=True))
     assert len(retrieve.candidates(q, x, 4, metric, np.full(5, np.inf))[0]) == 20
+
+
+def test_pairs_of_pivot_blocks_keep_ties_and_count_what_lies_within_the_bound(spark):
+    from veilspark.operators import pivots
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 6))
+    x[50:90] = x[3]  # more copies than are asked for: the smaller keys win
+    x[90:99] = x[3] + 1e-9 * rng.normal(size=(9, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    chosen = pivots.choose(df, "vec_id", "embedding", 4)
+    index = pivots.blocks(df, chosen, "vec_id", "embedding", 64)
+    got = pivots.search(df.where("vec_id % 3 = 0"), index, chosen, 4, size=16).collect()
+    assert len(got) == 4 * 67 and all(4 <= r.computed <= 200 for r in got)
+    for q in range(0, 200, 3):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert [(r.vec_id, r.distance) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(j, d[j]) for j in np.lexsort((np.arange(200), d))[:4]]

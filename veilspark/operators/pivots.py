@@ -30,6 +30,8 @@ PIVOTS, SAMPLE, BLOCK, QUERIES = 16, 2_000, 512, 256
 FIRST = 2
 #: Slack for rounding in bounds: relative and absolute.
 SLACK, LEAST = 1e-6, 1e-9
+#: Over the rounding of a product of matrices, relative to the squared lengths.
+ROUNDING = 1e-9
 BLOCKS = "block long, cell int, ids array<long>, n int, vectors binary, far binary, low array<double>, high array<double>"
 
 
@@ -141,12 +143,23 @@ def met(pairs: DataFrame, k: int) -> DataFrame:
                 qf, xf = (np.frombuffer(r[f"{s}_far"]).reshape(r[f"{s}_n"], -1) for s in "qx")
                 ids, bound = np.array(r["x_ids"]), np.array(r["bound"] or [np.inf] * len(q))
                 out: list[tuple] = []
+                # a product of matrices gives distances up to rounding: only what can be among the k nearest is measured by differences
+                xx = (x * x).sum(1)
+                rough = xx - 2 * (q @ x.T)
+                slack = ROUNDING * ((q * q).sum(1) + xx.max())
+                gap = np.zeros((len(q), len(x)))  # the widest difference of their distances to a pivot
+                for p, far in enumerate(np.ascontiguousarray(xf.T)):
+                    np.maximum(gap, np.abs(qf[:, p, None] - far), out=gap)
                 for i, one in enumerate(q):
-                    open_ = np.flatnonzero(np.abs(xf - qf[i]).max(1) <= bound[i] * (1 + SLACK) + LEAST) if np.isfinite(bound[i]) else np.arange(len(x))
+                    open_ = np.flatnonzero(gap[i] <= bound[i] * (1 + SLACK) + LEAST) if np.isfinite(bound[i]) else np.arange(len(x))
+                    n = len(open_)
+                    if n > k and np.isfinite(slack[i]):
+                        some = rough[i, open_]
+                        open_ = open_[some <= np.partition(some, k - 1)[k - 1] + slack[i]]
                     d = ((x[open_] - one) ** 2).sum(1)
                     best = np.lexsort((ids[open_], d))[:k]
                     out += [(r["q_ids"][i], int(ids[open_[j]]), float(d[j]), 0) for j in best]
-                    out.append((r["q_ids"][i], None, None, len(open_)))
+                    out.append((r["q_ids"][i], None, None, n))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "id", "d", "computed"])
 
