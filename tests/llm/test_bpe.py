@@ -1,7 +1,9 @@
 """Byte-pair counts and round trips against the tokenizers library."""
 
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,27 @@ def test_null_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     assert [r.n_tokens for r in bpe.count_tokens(df, public_tokenizers.path("word_bpe_49k.json")).collect()] == [2, 2, 2]
     assert df.select(F.col("doc_id")).count() == 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_queues_popped_together_give_what_each_heap_gives(name):
+    merges = bpe.Merges(public_tokenizers.path(name))
+    rng = random.Random(5)
+    letters = ["a", "b", "th", "e", "in", " ", "é", "ß", "日", "\U0001f600", "0", "'", "\x00"]
+    pieces = {"".join(rng.choices(letters[: rng.randint(1, len(letters))], k=rng.randint(1, 24))) for _ in range(20_000)} | {"x", "a" * 31, "a" * 32, "a" * 33, "ab" * 400}
+    got = bpe.Queues(merges).packed(pieces)
+    assert got.keys() == pieces and all(tuple(np.frombuffer(v, np.int32)) == merges.encode(p) for p, v in got.items())
+    assert bpe.Queues(merges).packed(set()) == {}
+
+
+def test_short_pieces_of_a_slice_are_not_merged_one_at_a_time(monkeypatch):
+    merges, asked = bpe.Merges(public_tokenizers.path("byte_bpe_50k.json")), []
+    monkeypatch.setattr(merges, "merge", lambda ids, plain=merges.merge: asked.append(len(ids)) or plain(ids))
+    texts = ["one two two three", "", "four " + "x" * 100]
+    known, queues = bpe.Remembered(merges.packed, 5), bpe.Queues(merges)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert bpe._encoded(merges, known, queues, texts).to_pylist() == [library.encode(t).ids for t in texts]
+    assert asked == [101]  # the long piece alone; the next slice has it as well, and one without it drops it
+    bpe._encoded(merges, known, queues, ["five six seven"])
+    assert not any(len(p) > 64 for p in known) and len(known) <= 5
