@@ -1,12 +1,13 @@
 """Span extraction against Python's re, both backends, and end-to-end profiles."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.rules import PROFILES, Profile, Rule, from_config, profile
-from veilspark.operators.scan import found, least_digits, scan
+from veilspark.operators.scan import found, least_digits, least_runs, least_shapes, scan, searched
 from veilspark.plans import pipeline, staged
 
 TEXTS = [
@@ -162,3 +163,40 @@ def test_rules_that_need_more_digits_than_a_text_has_are_not_searched():
     ready = [(k, Rule(name, p), Watched(name)) for k, (name, p) in enumerate((("long", r"\d{4}-\d{4}"), ("one", r"\d+"), ("any", "[a-z]")))]
     found(["abc", "a 12", "1234 5678", None, ""], ["en"] * 5, ready)
     assert searched == [("any", "abc"), ("one", "a 12"), ("any", "a 12"), ("long", "1234 5678"), ("one", "1234 5678"), ("any", "1234 5678")]
+
+
+def test_least_runs_and_shapes_of_patterns():
+    runs = [r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", r"(?:x\s)?(?:FR|GB)[0-9A-Z]{8,12}", r"tok_[A-Za-z0-9]{16,}", r"(?i)[A-Z]{9}", r"[A-Z]{3}|\d{5}", r"(?:[A-Z]{2}-){3}", r"[^a-z]{4}"]
+    assert [least_runs(p) for p in runs] == [(6, 8, 8), (2, 10, 10), (0, 0, 16), (0, 0, 0), (0, 0, 0), (2, 2, 2), (0, 0, 0)]
+    assert least_runs("[A-Z]{9}", True) == (0, 0, 0) and least_shapes("abc", True) == ()
+    shapes = [r"\b(?:SSN)?\s*\d{3}-\d{2}-\d{4}", r"(?:\+|00)(?:7|20|1\d)\s*[0-9 ]{8,}", r"x?", r"(?i)abc", r"ab+c", r"(?:abc)?[0-9 ]{3}", r"(?:rue|av\.)\s", r"[a-z]+@[a-z]+"]
+    assert [least_shapes(p) for p in shapes] == [(b"000-00-0000",), (b"+0", b"000"), (), (), (b"ab",), (), (b"av.", b"rue"), (b"@",)]
+
+
+def test_what_a_text_lacks_is_not_searched_for():
+    asked = []
+
+    class Watched:
+        def __init__(self, name):
+            self.name = name
+
+        def finditer(self, text):
+            asked.append((self.name, text))
+            return iter(())
+
+    ready = [(k, Rule(name, p), Watched(name)) for k, (name, p) in enumerate((("run", "[A-Z]{6}"), ("shape", r"\d\d-\d\d"), ("word", "rue|cours")))]
+    texts = [t + "." * 80 for t in ("ABCDE F", "ABCDEF", "1-2 345", "12-34", "1٣-٤5", "la rue")]
+    found(texts, ["en"] * len(texts), ready)
+    # digits beyond ASCII have no shape: such a text is searched for the rule that has one
+    assert [(name, t.rstrip(".")) for name, t in asked] == [("run", "ABCDEF"), ("shape", "12-34"), ("shape", "1٣-٤5"), ("word", "la rue")]
+
+
+def test_guards_lose_no_match_of_any_rule():
+    rng = random.Random(3)
+    bits = ["tok_", "pi_", "FR", "GB82", "WEST", "1234", "00", "+33", "6", "12", "-", " ", ".", "<", ">", "@", "a.org", '"x"', "0x", "bnb", "r", "Compte", "12 rue de la Paix, 75002 Paris", "Mme Élodie", "٣٤٥", "ſ", "K", "DEUTDEFF", "INV-2023-12345", "SSN 123-45-6789", "123-45-6789", "f" * 40, "Aa1" * 12, "السيد", "فاتورة 12345", "1,500.00 ريال", "\n", "tax", "2131", "4111111111111111"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 12))).ljust(80, "~") for _ in range(1500)]
+    for p in PROFILES.values():
+        ready = [(k, r, re.compile(r.pattern, re.IGNORECASE if r.ignore_case else 0)) for k, r in enumerate(p.rules)]
+        for t in texts:
+            kept = {k for k, _, _ in searched(t, ready)}
+            assert not [r for k, r, pattern in ready if k not in kept and pattern.search(t)], t
