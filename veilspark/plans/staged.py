@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import bidi, jsontext, positions, score, tables, validate
+from ..functions.pieces import small_batches
 from ..functions.rules import PROFILES, Profile, Rule
 from ..operators import aggregates, intervals, merge, pivots, resolve
 from ..sources import keyed, requests
@@ -73,16 +74,10 @@ with t as (select doc_id, translate(text, '{LATIN}', '{ARABIC}') as t from docum
 select doc_id, sha256(translate(t, '{BRACKETS}', '')) as restored, length(t) as n, length(t) - length(regexp_replace(t, 'ل[اأإآ]', 'x', 'g')) as joined from t""")
 def display_forms_undone(spark, sf_dir):
     """Display forms put back in the source's order and bare letters; brackets apart, which are mirrored."""
-    letters, ligatures = bidi.shapes()
-    forms = {shape: base for base, by in letters.items() for shape in by.values()}
-    shown = _arabic(spark, sf_dir).withColumn("shown", bidi.displayed(F.col("text")))
-    text, first = F.coalesce("shown.text", "text"), F.coalesce("shown.first", F.sequence(F.lit(0), F.length("text") - 1))
-    ordered = F.array_join(F.transform(F.array_sort(F.arrays_zip(first.alias("a"), F.split(text, "").alias("c"))), lambda x: x["c"]), "")
-    bare = F.translate(F.translate(ordered, "".join(forms), "".join(forms.values())), BRACKETS, "")
-    for alef, by in ligatures.items():
-        bare = F.regexp_replace(bare, f"[{''.join(by.values())}]", bidi.LAM + alef)
-    joined = F.length("text") - F.length(text)
-    return shown.select("doc_id", F.sha2(bare, 256).alias("restored"), F.length("text").cast("long").alias("n"), joined.cast("long").alias("joined"))
+    shown = small_batches(_arabic(spark, sf_dir)).withColumn("shown", bidi.displayed(F.col("text")))
+    shown = shown.select("doc_id", F.length("text").cast("long").alias("n"), F.coalesce("shown.text", "text").alias("text"), "shown.first")
+    bare = F.translate(bidi.undone(F.col("text"), F.col("first")), BRACKETS, "")
+    return shown.select("doc_id", F.sha2(bare, 256).alias("restored"), "n", (F.col("n") - F.length("text")).alias("joined"))
 
 
 @query()
