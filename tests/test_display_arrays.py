@@ -74,3 +74,8 @@ def test_display_forms_are_undone(spark):
 def test_forms_are_put_back_without_a_sort(spark):
     plan = __spark_entry__.queries()["display_forms_undone"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "array_sort" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_display_pass_makes_the_forms_once(spark):
+    plan = __spark_entry__.queries()["display_pass_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

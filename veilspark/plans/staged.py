@@ -84,7 +84,8 @@ def display_forms_undone(spark, sf_dir):
 def display_pass_entities(spark, sf_dir):
     """What the two scans of texts that run both ways find together, in offsets of the source."""
     found = pipeline.detect_displayed(_arabic(spark, sf_dir), only("light", "EMAIL", "IP_ADDRESS", "DATE", "CREDIT_CARD", policy="greedy_first"))
-    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
+    # with `explode`, Spark would ask for texts with entities first, and so make them twice
+    return found.select("doc_id", F.explode_outer("entities").alias("e")).where("e is not null").select("doc_id", "e.type", "e.start", "e.end", "e.text")
 
 
 # ---- scores and kinds by context -----------------------------------------------------------------
